@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.text import words
-from tillroll.plans.skew import heavy_keys, join_answers
+from tillroll.plans.skew import join_staged
+from tillroll.session import stage
 
 # code -> array of struct(parent, child)
 Edges = Callable[[Column], Column]
@@ -36,15 +37,17 @@ class Model:
 
 
 def count_docs(df: DataFrame, code: str, text: str, by: Sequence[str] = ()) -> DataFrame:
-    """(*by, code, text, n): equal training rows are counted once."""
-    return (
+    """(*by, code, text, n): equal training rows are counted once. Written out, since it is read more than once."""
+    docs = (
         df.where(F.col(code).isNotNull() & F.col(text).isNotNull())
         .groupBy(*by, F.col(code).alias("code"), F.col(text).alias("text"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return stage(docs, "docs")
 
 
 def fit(docs: DataFrame, edges: Edges, by: Sequence[str] = ()) -> Model:
+    """Train all nodes; the model is two written tables."""
     by = list(by)
     rows = (
         docs.groupBy(*by, "code")
@@ -62,6 +65,7 @@ def fit(docs: DataFrame, edges: Edges, by: Sequence[str] = ()) -> Model:
         .groupBy(*by, "parent", "child", "token")
         .agg(F.sum("n").alias("n"))
     )
+    counts = stage(counts, "counts")
     hit = F.struct(F.col("child").alias("child"), F.log(F.col("n") + 1).alias("weight"))
     # The element without a child counts the known words of a text.
     known = F.array(F.struct(F.lit(None).cast("string").alias("child"), F.lit(1.0).alias("weight")))
@@ -86,7 +90,7 @@ def fit(docs: DataFrame, edges: Edges, by: Sequence[str] = ()) -> Model:
         ).alias("children"),
         "rows",
     )
-    return Model(nodes, tokens, tuple(by))
+    return Model(stage(nodes, "nodes"), stage(tokens, "tokens"), tuple(by))
 
 
 def predict(items: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -97,12 +101,12 @@ def predict(items: DataFrame, model: Model, text: str = "text") -> DataFrame:
     without a node gives null.
     """
     by, carried = list(model.by), items.columns
-    met = join_answers(
+    met = join_staged(
         items.select(*carried, F.explode_outer(words(F.col(text))).alias("token")),
-        model.tokens.drop("n"),
+        model.tokens,
         [*by, "parent", "token"],
         [text],
-        heavy_keys(model.tokens, [*by, "parent", "token"], "n"),
+        "n",
     )
     # One exchange serves both aggregates below.
     pieces = met.repartition(*by, text).select(*carried, F.explode_outer("hits").alias("h"))
@@ -112,13 +116,7 @@ def predict(items: DataFrame, model: Model, text: str = "text") -> DataFrame:
         F.map_from_entries(F.collect_list(entry)).alias("__found"),
         F.coalesce(F.sum(F.when(F.col("child").isNull(), F.col("weight"))), F.lit(0.0)).alias("__known"),
     )
-    at_node = join_answers(
-        summed,
-        model.nodes.drop("rows"),
-        [*by, "parent"],
-        [text],
-        heavy_keys(model.nodes, [*by, "parent"], "rows"),
-    )
+    at_node = join_staged(summed, model.nodes, [*by, "parent"], [text], "rows")
     ranked = at_node.withColumn(
         "__ranked",
         F.array_sort(

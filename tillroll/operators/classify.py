@@ -10,7 +10,8 @@ from tillroll.operators.bayes import Model, count_docs, fit, predict
 from tillroll.operators.evaluate import hierarchical_scores, weighted_scores
 from tillroll.operators.lookup import descriptions
 from tillroll.operators.split import is_test, with_fold
-from tillroll.plans.skew import heavy_keys, join_answers
+from tillroll.plans.skew import join_lookup, join_weighted
+from tillroll.session import stage
 
 ROOT = ""
 # Fixed value: name of the top training set.
@@ -50,11 +51,10 @@ def distinct_labels(df: DataFrame, label: str, by: list[str] | None = None) -> D
     )
 
 
-def copy_to_rows(df: DataFrame, answers: DataFrame, labels: DataFrame, label: str, order_col: str) -> DataFrame:
-    """Give every row with a label the answer of its label; `labels` holds the row counts."""
+def copy_to_rows(df: DataFrame, answers: DataFrame, label: str, order_col: str) -> DataFrame:
+    """Give every row with a label the answer of its label; `answers` has (text, n, ...)."""
     rows = df.where(F.col(label).isNotNull())
-    heavy = heavy_keys(labels, ["text"], "n").withColumnRenamed("text", label)
-    return join_answers(rows, answers.withColumnRenamed("text", label), [label], [order_col], heavy)
+    return join_weighted(rows, answers.withColumnRenamed("text", label), [label], [order_col], "n")
 
 
 def fit_flat(train: DataFrame, code: str, label: str) -> Model:
@@ -74,23 +74,22 @@ def predict_distinct(
 
     Rows without a description are dropped.
     """
-    labels = distinct_labels(df, label)
-    answers = predict(labels.select("text", F.lit(ROOT).alias("parent")), model).select(
-        "text", F.col("pred").alias(out)
-    )
+    items = distinct_labels(df, label).withColumn("parent", F.lit(ROOT))
+    answers = predict(items, model).select("text", "n", F.col("pred").alias(out))
     table = descriptions(nomenclature, "poste").toDF(out, out_description)
-    described = answers.join(table, out, "left").select("text", out, out_description)
-    return copy_to_rows(df, described, labels, label, order_col)
+    described = join_lookup(answers, table, [out], ["text"])
+    return copy_to_rows(df, described, label, order_col)
 
 
 def flat_classifier(
     train: DataFrame, test: DataFrame, code: str, label: str, order_col: str = "ROW_ID"
 ) -> DataFrame:
     """Test rows with FLAT_PRED and CONFIDENCE."""
-    labels = distinct_labels(test, label)
-    answers = predict(labels.select("text", F.lit(ROOT).alias("parent")), fit_flat(train, code, label))
-    answers = answers.select("text", F.col("pred").alias("FLAT_PRED"), F.col("confidence").alias("CONFIDENCE"))
-    return copy_to_rows(test, answers, labels, label, order_col)
+    items = distinct_labels(test, label).withColumn("parent", F.lit(ROOT))
+    answers = predict(items, fit_flat(train, code, label)).select(
+        "text", "n", F.col("pred").alias("FLAT_PRED"), F.col("confidence").alias("CONFIDENCE")
+    )
+    return copy_to_rows(test, answers, label, order_col)
 
 
 def lcpn_training_sets(df: DataFrame, code: str, label: str) -> DataFrame:
@@ -152,16 +151,15 @@ def lcpl_classifier(
 ) -> DataFrame:
     """Test rows with an independent prediction and margin per level, and the back-off choice CONFIDENCE_PRED."""
     model = fit(count_docs(train, code, label), level_edges)
-    labels = distinct_labels(test, label)
-    items = labels.select("text", F.explode(F.array(*[F.lit(n) for n in LEVELS])).alias("parent"))
+    items = distinct_labels(test, label).select("text", "n", F.explode(F.array(*[F.lit(n) for n in LEVELS])).alias("parent"))
     scored = predict(items, model)
     columns = []
     for name in LEVELS:
         here = F.col("parent") == name
         columns.append(F.max(F.when(here, F.col("pred"))).alias(f"{name.upper()}_PRED"))
         columns.append(F.max(F.when(here, F.col("margin"))).alias(f"DIFF_PROB_{name.upper()}"))
-    wide = scored.groupBy("text").agg(*columns).withColumn("CONFIDENCE_PRED", backoff_prediction(threshold))
-    return copy_to_rows(test, wide, labels, label, order_col)
+    wide = scored.groupBy("text", "n").agg(*columns).withColumn("CONFIDENCE_PRED", backoff_prediction(threshold))
+    return copy_to_rows(test, wide, label, order_col)
 
 
 def _scored_pairs(train_docs: DataFrame, test_docs: DataFrame, by: str) -> DataFrame:
@@ -193,6 +191,7 @@ def repeated_holdout(
     pairs = _scored_pairs(
         docs.where(~F.col("__test")).drop("__test"), docs.where(F.col("__test")).drop("__test"), "split"
     )
+    pairs = stage(pairs, "pairs")
     names = ("precision", "recall", "f1")
     flat = weighted_scores(pairs, ["split"]).select("split", *[F.col(c).alias(f"flat_{c}") for c in names])
     tree = hierarchical_scores(pairs, ["split"]).select("split", *[F.col(c).alias(f"hier_{c}") for c in names])
@@ -212,10 +211,11 @@ def kfold_docs(
     rows = df.where(F.col(code).isNotNull() & F.col(label).isNotNull())
     held = count_docs(with_fold(rows, k, key, method), code, label, ["fold"])
     others = F.filter(F.sequence(F.lit(1), F.lit(k)).cast("array<bigint>"), lambda f: f != F.col("fold"))
-    train = (
+    train = stage(
         held.select(F.explode(others).alias("fold"), "code", "text", "n")
         .groupBy("fold", "code", "text")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n")),
+        "train",
     )
     return train, held
 

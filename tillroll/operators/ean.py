@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions import ean as fe
-from tillroll.plans.skew import heavy_keys, join_answers
+from tillroll.plans.skew import join_weighted
 
 KEEP = ("DESCRIPTION_EAN", "ID_FAMILLE", "CA", "CA_PRIX_QTE")
 
@@ -51,27 +51,27 @@ def reconstruct(
     # the repairable ones are shuffled.
     settled = rows.where(~repairable).withColumn(out, F.col(ean))
     broken = rows.where(repairable)
-    if mode == "first":
-        answers = (
-            rows.groupBy(label)
-            .agg(
-                F.min_by(F.when(standard, F.col(ean)), F.when(standard, F.col(order_col))).alias("__found"),
-                F.count_if(repairable).alias("__n"),
-            )
-            .where(F.col("__found").isNotNull() & (F.col("__n") > 0))
-        )
-        keys = [label]
-    else:
-        answers = _by_subsequence(rows, label, ean, order_col, standard, repairable, min_length)
-        keys = [label, ean]
-    heavy = heavy_keys(answers, keys, "__n")
-    repaired = join_answers(broken, answers.drop("__n"), keys, [order_col], heavy)
+    # Pairs first: hash aggregation with map-side combining, and a frequent
+    # label is spread over its barcodes before it is reduced to one row.
+    pairs = rows.groupBy(label, ean).agg(F.count(F.lit(1)).alias("__n"), F.min(order_col).alias("__first"))
+    find = _first_standard if mode == "first" else _by_subsequence
+    keys, answers = find(pairs, label, ean, standard, repairable, min_length)
+    repaired = join_weighted(broken, answers, keys, [order_col], "__n")
     repaired = repaired.withColumn(out, F.coalesce("__found", ean)).drop("__found")
     return settled.unionByName(repaired)
 
 
-def _by_subsequence(rows, label, ean, order_col, standard, repairable, size) -> DataFrame:
-    """(label, ean, __found, __n) for the broken barcodes that have a partner.
+def _first_standard(pairs, label, ean, standard, repairable, size) -> tuple[list[str], DataFrame]:
+    """(label, __found, __n) for labels with barcodes to repair and one to repair them with."""
+    answers = pairs.groupBy(label).agg(
+        F.min_by(F.when(standard, F.col(ean)), F.when(standard, F.col("__first"))).alias("__found"),
+        F.sum(F.when(repairable, F.col("__n")).otherwise(0)).alias("__n"),
+    )
+    return [label], answers.where(F.col("__found").isNotNull() & (F.col("__n") > 0))
+
+
+def _by_subsequence(pairs, label, ean, standard, repairable, size) -> tuple[list[str], DataFrame]:
+    """(label, ean, __found, __n) for the barcodes to repair that have a partner.
 
     Each barcode is cut into its subsequences of `size` characters; per label
     and subsequence only the first standard barcode survives, so nothing is
@@ -80,24 +80,22 @@ def _by_subsequence(rows, label, ean, order_col, standard, repairable, size) ->
     pieces = F.explode(
         F.filter(fe.subsequences(F.col(ean), size), lambda s: s != "0" * size)
     ).alias("__piece")
-    broken = rows.where(repairable).groupBy(label, ean).agg(F.count(F.lit(1)).alias("__n"))
-    needed = broken.select(label).distinct()
+    broken = pairs.where(repairable)
     offers = (
-        rows.where(standard)
-        .groupBy(label, ean)
-        .agg(F.min(order_col).alias("__first"))
-        .join(needed, label, "left_semi")
+        pairs.where(standard)
+        .join(broken.select(label).distinct(), label, "left_semi")
         .select(label, F.struct("__first", F.col(ean).alias("__ean")).alias("__offer"), pieces)
         .groupBy(label, "__piece")
         .agg(F.min("__offer").alias("__offer"))
     )
-    return (
+    answers = (
         broken.select(label, ean, "__n", pieces)
         .join(offers, [label, "__piece"])
         .groupBy(label, ean)
-        .agg(F.min("__offer").alias("__offer"), F.first("__n").alias("__n"))
+        .agg(F.min("__offer").alias("__offer"), F.max("__n").alias("__n"))
         .select(label, ean, F.col("__offer.__ean").alias("__found"), "__n")
     )
+    return [label, ean], answers
 
 
 def keep_columns(df: DataFrame, keep: Sequence[str]) -> DataFrame:

@@ -79,13 +79,22 @@ def revenue_weighted_metrics(df: DataFrame, true: str, pred: str, sales: str) ->
     A wrong prediction counts as a false positive only if the predicted code is a true code somewhere.
     """
     pairs = pair_counts(df, true, pred, sales)
-    known = pairs.select(F.col("true").alias("pred"), F.lit(True).alias("known")).distinct()
     hit = F.coalesce(F.col("true") == F.col("pred"), F.lit(False))
-    sums = pairs.join(known, "pred", "left").agg(
-        *[
-            F.coalesce(F.sum(F.when(test, F.col("ca"))), F.lit(0)).cast("double").alias(name)
-            for name, test in (("tp", hit), ("fp", ~hit & F.col("known")), ("fn", ~hit))
-        ]
+    zero = F.lit(0).cast("decimal(28,2)")
+
+    def side(code: str, seen: bool, tp: Column, fp: Column, fn: Column) -> Column:
+        return F.struct(
+            F.col(code).alias("code"), F.lit(int(seen)).alias("seen"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn")
+        )
+
+    right, wrong = F.when(hit, F.col("ca")).otherwise(zero), F.when(~hit, F.col("ca")).otherwise(zero)
+    classes = (
+        pairs.select(F.inline(F.array(side("true", True, right, zero, wrong), side("pred", False, zero, wrong, zero))))
+        .groupBy("code")
+        .agg(F.max("seen").alias("seen"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    )
+    sums = classes.where(F.col("seen") == 1).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in ("tp", "fp", "fn")]
     )
     sums = sums.select(
         "*",

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.text import words
-from tillroll.plans.skew import heavy_keys, join_answers
+from tillroll.plans.skew import join_weighted
+from tillroll.session import stage
 
 
 def word_ngrams(tokens: Column, low: int, high: int) -> Column:
@@ -45,6 +46,12 @@ def bucket_of(ngram: Column, buckets: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(ngram), 1, 8), 16, 10).cast("long"), F.lit(buckets))
 
 
+def _count_labels(df: DataFrame, label: str) -> DataFrame:
+    """(label, n), written out: the one pass over the rows."""
+    labels = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label"))
+    return stage(labels.agg(F.count(F.lit(1)).alias("n")), "labels")
+
+
 def text_features(
     df: DataFrame,
     label: str = "DESCRIPTION_EAN_FINAL",
@@ -60,20 +67,11 @@ def text_features(
     Character n-grams are taken from words between "<" and ">". Labels are
     counted first, so each distinct label is cut up once.
     """
-    counted = (
-        df.where(F.col(label).isNotNull())
-        .groupBy(F.col(label).alias("label"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counted = _count_labels(df, label)
     pieces = counted.select("label", "n", F.posexplode(words(F.col("label"))).alias("pos", "word"))
     vocabulary = pieces.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    kept = join_answers(
-        pieces,
-        vocabulary.select("word", F.lit(True).alias("kept")),
-        ["word"],
-        ["label", "pos"],
-        heavy_keys(vocabulary, ["word"], "n"),
-    ).where("kept")
+    known = vocabulary.select("word", F.col("n").alias("__n"), F.lit(True).alias("kept"))
+    kept = join_weighted(pieces, known, ["word"], ["label", "pos"], "__n").where("kept")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "word")))
     tokens = kept.groupBy("label", "n").agg(F.transform(ordered, lambda s: s["word"]).alias("tokens"))
     word_grams = tokens.select(
@@ -109,11 +107,7 @@ def tfidf_features(
     idf = ln((1 + rows) / (1 + rows with the term)) + 1. Terms in more than
     `max_df` of the rows are left out. Rows are counted per label first.
     """
-    counted = (
-        df.where(F.col(label).isNotNull())
-        .groupBy(F.col(label).alias("label"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counted = _count_labels(df, label)
     tf = (
         counted.select("label", "n", F.explode(terms_of(F.col("label"), *ngram)).alias("term"))
         .groupBy("label", "n", "term")
@@ -124,9 +118,9 @@ def tfidf_features(
     idf = (
         terms.withColumn("rows", rows)
         .where(F.col("df") <= F.lit(max_df) * F.col("rows"))
-        .select("term", (F.log((1 + F.col("rows")) / (1 + F.col("df"))) + 1).alias("idf"))
+        .select("term", "labels", (F.log((1 + F.col("rows")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
-    weighted = join_answers(tf, idf, ["term"], ["label"], heavy_keys(terms, ["term"], "labels"))
+    weighted = join_weighted(tf, idf, ["term"], ["label"], "labels")
     weighted = weighted.where(F.col("idf").isNotNull()).select(
         "label", "term", (F.col("tf") * F.col("idf")).alias("w")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.codes import OUT_OF_SCOPE
 from tillroll.operators.lookup import describe_code, descriptions
-from tillroll.plans.skew import heavy_keys, join_answers, join_lookup
+from tillroll.plans.skew import join_lookup, join_weighted
 from tillroll.sources.readers import upper_names
 
 # Columns that exist only between the labelling steps.
@@ -41,15 +41,16 @@ def propagate_family_by_label(
 ) -> DataFrame:
     """Fill missing families of a label whose known families agree. Rows without a label are dropped."""
     rows = df.where(F.col(label).isNotNull())
-    groups = rows.groupBy(F.col(label).alias("__ask")).agg(
+    # Pairs first: hash aggregation, and a frequent label is reduced in parts.
+    pairs = rows.groupBy(F.col(label).alias("__ask"), family).agg(F.count(F.lit(1)).alias("__rows"))
+    groups = pairs.groupBy("__ask").agg(
         F.min(family).alias("__family"),
         F.max(family).alias("__other"),
-        F.count_if(F.col(family).isNull()).alias("__n"),
+        F.sum(F.when(F.col(family).isNull(), F.col("__rows")).otherwise(0)).alias("__n"),
     )
-    agreed = groups.where((F.col("__family") == F.col("__other")) & (F.col("__n") > 0))
-    heavy = heavy_keys(agreed, ["__ask"], "__n")
+    agreed = groups.where((F.col("__family") == F.col("__other")) & (F.col("__n") > 0)).drop("__other")
     asking = rows.withColumn("__ask", F.when(F.col(family).isNull(), F.col(label)))
-    joined = join_answers(asking, agreed.select("__ask", "__family"), ["__ask"], [order_col], heavy)
+    joined = join_weighted(asking, agreed, ["__ask"], [order_col], "__n")
     return joined.withColumn(family, F.coalesce(family, "__family")).select(*df.columns)
 
 

@@ -13,7 +13,7 @@ from tillroll.functions.rules import LABEL_RULES, apply_rules
 from tillroll.functions.stopwords import FRENCH
 from tillroll.operators.ean import keep_columns
 from tillroll.plans.ordering import next_in_group
-from tillroll.plans.skew import heavy_keys, join_answers, join_lookup
+from tillroll.plans.skew import join_lookup, join_weighted
 from tillroll.sources.readers import upper_names
 
 KEEP = ("EAN_FINAL", "ID_FAMILLE", "CA", "CA_PRIX_QTE")
@@ -53,14 +53,8 @@ def drop_similar_labels(
     a, b = F.col("__a"), F.col("__b")
     candidates = pairs.where((a == b) | (ft.similarity_bound(a, b) > threshold))
     kinds = candidates.groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("__n"))
-    alike = kinds.where(ft.similarity(a, b) > threshold)
-    found = join_answers(
-        candidates,
-        alike.select("__a", "__b", F.lit(True).alias("__alike")),
-        ["__a", "__b"],
-        ["__this"],
-        heavy_keys(kinds, ["__a", "__b"], "__n"),
-    ).where("__alike")
+    alike = kinds.withColumn("__alike", ft.similarity(a, b) > threshold)
+    found = join_weighted(candidates, alike, ["__a", "__b"], ["__this"], "__n").where("__alike")
     losers = found.select(
         F.when(F.length(a) > F.length(b), F.col("__that")).otherwise(F.col("__this")).alias(order_col)
     ).distinct()
@@ -80,19 +74,19 @@ def normalise_tokens(
     """
     counted = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     forms = _base_forms(counted, dictionary, label, label)
-    joined = join_answers(df, forms, [label], [order_col], heavy_keys(counted, [label], "__n"))
+    joined = join_weighted(df, forms, [label], [order_col], "__n")
     return joined.withColumn(label, F.col("__form")).select(*df.columns)
 
 
 def _base_forms(labels: DataFrame, dictionary: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, __form): the words of `text` in base form, for each row of `labels`."""
+    """(key, __n, __form): the words of `text` in base form, for each row (key, __n, text) of `labels`."""
     known = dictionary.select(F.col("token").alias("__token"), F.col("base").alias("__base"))
-    pieces = labels.select(key, F.posexplode_outer(ft.words(F.col(text))).alias("__pos", "__token"))
+    pieces = labels.select(key, "__n", F.posexplode_outer(ft.words(F.col(text))).alias("__pos", "__token"))
     pieces = join_lookup(pieces, known, ["__token"], [key, "__pos"])
     piece = F.struct("__pos", F.coalesce("__base", "__token", F.lit("")).alias("w"))
     ordered = F.transform(F.array_sort(F.collect_list(piece)), lambda s: s["w"])
     glued = F.regexp_replace(F.upper(F.array_join(ordered, " ")), r"(?U)#\s", "#")
-    return pieces.groupBy(key).agg(glued.alias("__form"))
+    return pieces.groupBy(key, "__n").agg(glued.alias("__form"))
 
 
 def clean_text(label: Column, stop: Sequence[str] = FRENCH, rules=LABEL_RULES, mask: str = "original") -> Column:
@@ -127,8 +121,8 @@ def clean_label(
     else:
         cleaned = _base_forms(cleaned, dictionary, label, "__clean")
     # The length test waits until after the join: pushed below the rules it would run them twice.
-    answers = cleaned.select(label, F.col("__form").alias(out))
-    joined = join_answers(rows, answers, [label], [order_col], heavy_keys(counted, [label], "__n"))
+    answers = cleaned.select(label, "__n", F.col("__form").alias(out))
+    joined = join_weighted(rows, answers, [label], [order_col], "__n")
     joined = drop_short_labels(joined, out, len_min).drop(label)
     if keep is not None:
         joined = keep_columns(joined, [*keep, out, order_col])

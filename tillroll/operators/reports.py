@@ -12,6 +12,7 @@ from tillroll.functions.codes import CODE_LENGTH, NOT_ELSEWHERE, level_name
 from tillroll.operators.evaluate import pair_counts
 from tillroll.operators.hierarchy import explode_levels
 from tillroll.operators.lookup import descriptions
+from tillroll.session import stage
 
 # Fixed value: what an unknown description is called in the flow report.
 NOT_TRACKED = "Non suivi"
@@ -79,7 +80,7 @@ def confusion_matrix(
     slices, and they meet in an equi-join on the slice.
     """
     complete = df.where((F.length(true) == CODE_LENGTH) & F.col(pred).isNotNull())
-    pairs = pair_counts(complete, true, pred).select("true", "pred", "n")
+    pairs = stage(pair_counts(complete, true, pred).select("true", "pred", "n"), "pairs")
     trues = pairs.select("true").distinct()
     preds = pairs.select("pred").distinct()
     cells = trues.select("true", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("__slice")).join(

@@ -28,13 +28,11 @@ def next_in_group(
         F.shiftright(order_col, BLOCK_BITS).alias("__block"),
         F.shiftright(order_col, SPAN_BITS).alias("__span"),
     )
+    in_block = Window.partitionBy(*group, "__block").orderBy(order_col)
     here = F.struct(F.col(order_col), F.col(value))
-    blocks = rows.groupBy(*group, "__span", "__block").agg(
-        F.min_by(here, order_col).alias("__head")
-    )
-    spans = blocks.groupBy(*group, "__span").agg(
-        F.min_by("__head", "__block").alias("__span_head")
-    )
+    rows = rows.select("*", F.lead(here).over(in_block).alias("__next"), F.row_number().over(in_block).alias("__at"))
+    blocks = rows.where(F.col("__at") == 1).select(*group, "__span", "__block", here.alias("__head"))
+    spans = blocks.groupBy(*group, "__span").agg(F.min_by("__head", "__block").alias("__span_head"))
     spans = spans.select(
         *group,
         "__span",
@@ -45,8 +43,6 @@ def next_in_group(
     blocks = blocks.join(spans, [*group, "__span"], "left").select(
         *group, "__block", F.coalesce("__over_block", "__over_span").alias("__over")
     )
-    in_block = Window.partitionBy(*group, "__block").orderBy(order_col)
-    rows = rows.withColumn("__next", F.lead(here).over(in_block))
     return rows.join(blocks, [*group, "__block"], "left").select(
         *df.columns, F.coalesce("__next", "__over").alias(out)
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.session import stage
+
 # A key is heavy when it holds more than 1/HEAVY_PARTS of all rows, so there
 # are fewer than HEAVY_PARTS heavy keys whatever the size of the data. This is
 # the bound that makes broadcasting their answers safe.
@@ -24,10 +26,10 @@ def fits_broadcast(table: DataFrame) -> bool:
     return int(str(size)) <= conf.autoBroadcastJoinThreshold()
 
 
-def heavy_keys(counts: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
-    """Keys whose `weight` is more than 1/HEAVY_PARTS of the total."""
-    total = counts.agg(F.sum(weight)).scalar()
-    return counts.where(F.col(weight) * HEAVY_PARTS > total).select(*keys)
+def heaviest(counted: DataFrame, weight: str) -> DataFrame:
+    """Rows of `counted` whose `weight` is more than 1/HEAVY_PARTS of the total, without that column."""
+    total = counted.agg(F.sum(weight)).scalar()
+    return counted.where(F.col(weight) * HEAVY_PARTS > total).drop(weight)
 
 
 def key_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -35,6 +37,53 @@ def key_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
 
 
+def join_weighted(
+    rows: DataFrame, answers: DataFrame, keys: Sequence[str], spread_by: Sequence[str], weight: str
+) -> DataFrame:
+    """Left join of `rows` to `answers`, which has one row per key and knows how many rows
+    each concerns (`weight`, not part of the result).
+
+    The answers are written to the shared folder first. So `rows` is read once
+    to find them and once to receive them, and their size is known, not guessed:
+    Catalyst broadcasts them if they are below its threshold.
+    """
+    return join_staged(rows, stage(answers, "answers"), keys, spread_by, weight)
+
+
+def join_staged(
+    rows: DataFrame, answers: DataFrame, keys: Sequence[str], spread_by: Sequence[str], weight: str
+) -> DataFrame:
+    """`join_weighted` for answers that are a written table already."""
+    if fits_broadcast(answers):
+        return _plain(rows, answers.drop(weight), keys)
+    return join_answers(rows, answers.drop(weight), keys, spread_by, heaviest(answers, weight))
+
+
+def join_lookup(
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], spread_by: Sequence[str]
+) -> DataFrame:
+    """Left join of `rows` to a reference table that is unique on `keys`.
+
+    A table below the broadcast threshold is joined plainly. Where the estimate
+    says more, the table is written out to learn its size; if it really is
+    larger, the frequent keys of `rows` are counted and the join is skew-proof.
+    """
+    if fits_broadcast(table):
+        return _plain(rows, table, keys)
+    table = stage(table, "lookup")
+    if fits_broadcast(table):
+        return _plain(rows, table, keys)
+    keys = list(keys)
+    frequent = stage(heaviest(stage(key_counts(rows, keys), "counts"), "__n"), "frequent")
+    heavy = table.join(F.broadcast(frequent), keys, "left_semi")
+    return join_answers(rows, table, keys, spread_by, heavy)
+
+
+def _plain(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    values = [c for c in table.columns if c not in keys]
+    return rows.join(table, list(keys), "left").select(*rows.columns, *values)
+
+
 def join_answers(
     rows: DataFrame,
     answers: DataFrame,
@@ -42,7 +91,7 @@ def join_answers(
     spread_by: Sequence[str],
     heavy: DataFrame,
 ) -> DataFrame:
-    """Left join of `rows` to `answers`, which has one row per key.
+    """Left join of `rows` to `answers`, which has one row per key; `heavy` is its part for heavy keys.
 
     Answers of heavy keys travel by broadcast. The other keys are joined by
     shuffle; rows that are already answered or have a null key take part in
@@ -51,7 +100,7 @@ def join_answers(
     """
     keys = list(keys)
     values = [c for c in answers.columns if c not in keys]
-    heavy_side = answers.join(F.broadcast(heavy), keys, "left_semi").select(
+    heavy_side = heavy.select(
         *[F.col(k).alias(f"__h_{k}") for k in keys],
         F.struct(*values, F.lit(True).alias("__hit")).alias("__hot"),
     )
@@ -90,25 +139,6 @@ def join_answers(
     )
 
 
-def join_lookup(
-    rows: DataFrame,
-    table: DataFrame,
-    keys: Sequence[str],
-    spread_by: Sequence[str],
-) -> DataFrame:
-    """Left join to a reference table that is unique on `keys`.
-
-    A table below the broadcast threshold is joined plainly, and Catalyst
-    broadcasts it. A larger one takes the skew-proof way.
-    """
-    if fits_broadcast(table):
-        return rows.join(table, list(keys), "left").select(
-            *rows.columns, *[c for c in table.columns if c not in keys]
-        )
-    heavy = heavy_keys(key_counts(rows, keys), keys, "__n")
-    return join_answers(rows, table, keys, spread_by, heavy)
-
-
 def _all_equal(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
     on = F.lit(True)
     for k in keys:
