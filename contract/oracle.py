@@ -171,7 +171,7 @@ add(
     "raw_labels",
     "SELECT *, false AS Edition FROM raw_labels WHERE substr(ean, 1, 3) NOT IN ('378', '977', '978', '979')",
 )
-add("upper_label", (), "SELECT doc_id, replace(upper(text), 'ß', 'SS') AS text FROM documents")
+add("upper_label", (), "SELECT doc_id, upper(replace(text, 'ß', 'ss')) AS text FROM documents")
 labels_query("apply_label_rules", rules_sql("o"))
 labels_query("apply_label_rules_sequential", rules_sql("o", masked=False))
 add("collapse_spaces", (), f"SELECT doc_id, {one_space('''replace(text, ' e', '   e')''')} AS text FROM documents")

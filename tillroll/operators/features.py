@@ -10,35 +10,28 @@ from tillroll.plans.skew import join_weighted
 from tillroll.session import stage
 
 
+def _slices(length: Column, n: int, cut) -> Column:
+    """`cut(i)` for each place i where a run of n fits, an empty array where none does."""
+    places = F.sequence(F.lit(1), F.greatest(length - (n - 1), F.lit(1)))
+    return F.when(length >= n, F.transform(places, cut)).otherwise(F.array().cast("array<string>"))
+
+
 def word_ngrams(tokens: Column, low: int, high: int) -> Column:
     """All runs of `low` to `high` neighbouring tokens, joined by a blank."""
-    runs = [
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))),
-            lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "),
-        )
-        for n in range(low, high + 1)
-    ]
-    usable = [
-        F.when(F.size(tokens) >= n, run).otherwise(F.array().cast("array<string>"))
-        for n, run in zip(range(low, high + 1), runs)
-    ]
-    return F.concat(*usable)
+
+    def runs(n: int) -> Column:
+        return _slices(F.size(tokens), n, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    return F.concat(*[runs(n) for n in range(low, high + 1)])
 
 
 def char_ngrams(word: Column, low: int, high: int) -> Column:
     """All substrings of `low` to `high` characters."""
-    runs = [
-        F.when(
-            F.length(word) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1))),
-                lambda i, n=n: F.substring(word, i, F.lit(n)),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(low, high + 1)
-    ]
-    return F.concat(*runs)
+
+    def runs(n: int) -> Column:
+        return _slices(F.length(word), n, lambda i: F.substring(word, i, F.lit(n)))
+
+    return F.concat(*[runs(n) for n in range(low, high + 1)])
 
 
 def bucket_of(ngram: Column, buckets: int) -> Column:

@@ -71,10 +71,13 @@ def pipeline(setting: Setting, text: str = "text", code: str = "code", max_iter:
         learner = LogisticRegression(regParam=strength / 1000, maxIter=max_iter, **common)
     else:
         raise ValueError(f"no classifier for kernel {setting.kernel}")
+    counter = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=MAX_TERMS)
+    if setting.max_df < 1:  # from 1 on, Spark reads a number of texts
+        counter = counter.setMaxDF(setting.max_df)
     return Pipeline(
         stages=[
             StringIndexer(inputCol=code, outputCol="y", handleInvalid="skip", stringOrderType="alphabetAsc"),
-            CountVectorizer(inputCol="terms", outputCol="tf", maxDF=setting.max_df, vocabSize=MAX_TERMS),
+            counter,
             IDF(inputCol="tf", outputCol="tfidf"),
             Normalizer(inputCol="tfidf", outputCol="features"),
             learner,
