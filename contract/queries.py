@@ -27,7 +27,6 @@ from tillroll.operators import (
     stats,
     tune,
 )
-from tillroll.operators.bayes import predict
 from tillroll.session import shared_dir
 from tillroll.sources import readers, writers
 

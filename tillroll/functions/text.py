@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,10 +50,62 @@ def drop_short_words(label: Column) -> Column:
     return F.regexp_replace(label, "(?U)" + SHORT_WORD, "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once, also where `body` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+# Labels up to this length fit the bits of a long.
+BITS = 62
+
+
 def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, one table row per character of `a`."""
-    b_chars = F.split(b, "")
-    places = F.sequence(F.lit(1), F.length(b))
+    """Length of the longest common subsequence."""
+    by_bits = let(F.split(b, ""), lambda chars: _lcs_bits(a, chars))
+    by_table = let(F.split(b, ""), lambda chars: _lcs_table(a, chars))
+    return F.when(F.length(b) <= BITS, by_bits).otherwise(by_table)
+
+
+def _bit(j: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), j)
+
+
+def _lcs_bits(a: Column, b_chars: Column) -> Column:
+    """One long per row of the table: bit j is cleared where character j of `b` lengthens the subsequence."""
+    size = F.size(b_chars)
+    full = _bit(size) - 1
+    places = F.sequence(F.lit(0), size - 1)
+
+    def places_of(ch: Column) -> Column:
+        return F.aggregate(
+            places,
+            F.lit(0).cast("long"),
+            lambda bits, j: F.when(
+                F.get(b_chars, j) == ch, bits + _bit(j)
+            ).otherwise(bits),
+        )
+
+    by_char = F.map_from_entries(
+        F.transform(F.array_distinct(b_chars), lambda ch: F.struct(ch, places_of(ch)))
+    )
+    hits = let(
+        by_char,
+        lambda found: F.transform(
+            F.split(a, ""), lambda ch: F.coalesce(F.try_element_at(found, ch), F.lit(0).cast("long"))
+        ),
+    )
+    left = F.aggregate(
+        hits,
+        full,
+        lambda v, m: (v + v.bitwiseAND(m)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(full),
+    )
+    return size - F.bit_count(left)
+
+
+def _lcs_table(a: Column, b_chars: Column) -> Column:
+    """One array per row of the table, for labels of any length."""
+    size = F.size(b_chars)
+    places = F.sequence(F.lit(1), size)
 
     def next_row(row: Column, ch: Column) -> Column:
         return F.aggregate(
@@ -69,8 +121,8 @@ def common_subsequence(a: Column, b: Column) -> Column:
             ),
         )
 
-    last = F.aggregate(F.split(a, ""), F.array_repeat(F.lit(0), F.length(b) + 1), next_row)
-    return F.get(last, F.length(b))
+    last = F.aggregate(F.split(a, ""), F.array_repeat(F.lit(0), size + 1), next_row)
+    return F.get(last, size)
 
 
 def similarity(a: Column, b: Column) -> Column:

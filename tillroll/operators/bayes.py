@@ -93,30 +93,36 @@ def fit(docs: DataFrame, edges: Edges, by: Sequence[str] = ()) -> Model:
     return Model(stage(nodes, "nodes"), stage(tokens, "tokens"), tuple(by))
 
 
-def predict(items: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add pred, score, confidence and margin to `items`, which has `text`, `parent` and the model's keys.
+def text_id(text: Column) -> Column:
+    """Short key of a text, so that long texts do not travel with each of their words."""
+    return F.md5(text)
 
-    One row per item throughout: the words of an item meet the model by
-    (parent, token), are summed per child and ranked inside the row. A parent
-    without a node gives null.
+
+def word_rows(items: DataFrame, text: str = "text") -> DataFrame:
+    """`items` without the text, one row per word as `token`; a text without words keeps one row."""
+    rest = [c for c in items.columns if c != text]
+    return items.select(*rest, F.explode_outer(words(F.col(text))).alias("token"))
+
+
+def predict(tokens: DataFrame, model: Model) -> DataFrame:
+    """One row per item with pred, score, confidence and margin.
+
+    `tokens` has one row per word of an item: `id`, `parent`, `token`, the
+    model's keys and whatever else is to be carried. The words meet the model
+    by (parent, token), are summed per child and ranked inside one row per
+    item. A parent without a node gives null.
     """
-    by, carried = list(model.by), items.columns
-    met = join_staged(
-        items.select(*carried, F.explode_outer(words(F.col(text))).alias("token")),
-        model.tokens,
-        [*by, "parent", "token"],
-        [text],
-        "n",
-    )
-    # One exchange serves both aggregates below.
-    pieces = met.repartition(*by, text).select(*carried, F.explode_outer("hits").alias("h"))
+    by = list(model.by)
+    carried = [c for c in tokens.columns if c != "token"]
+    met = join_staged(tokens, model.tokens, [*by, "parent", "token"], ["id", "token"], "n")
+    pieces = met.select(*carried, F.explode_outer("hits").alias("h"))
     sums = pieces.groupBy(*carried, F.col("h.child").alias("child")).agg(F.sum("h.weight").alias("weight"))
     entry = F.when(F.col("child").isNotNull(), F.struct("child", "weight"))
     summed = sums.groupBy(*carried).agg(
         F.map_from_entries(F.collect_list(entry)).alias("__found"),
         F.coalesce(F.sum(F.when(F.col("child").isNull(), F.col("weight"))), F.lit(0.0)).alias("__known"),
     )
-    at_node = join_staged(summed, model.nodes, [*by, "parent"], [text], "rows")
+    at_node = join_staged(summed, model.nodes, [*by, "parent"], ["id"], "rows")
     ranked = at_node.withColumn(
         "__ranked",
         F.array_sort(

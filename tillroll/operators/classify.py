@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.codes import CODE_LENGTH, LEVELS, prefixes
-from tillroll.operators.bayes import Model, count_docs, fit, predict
+from tillroll.functions.text import let
+from tillroll.operators.bayes import Model, count_docs, fit, predict, text_id, word_rows
 from tillroll.operators.evaluate import hierarchical_scores, weighted_scores
 from tillroll.operators.lookup import descriptions
 from tillroll.operators.split import is_test, with_fold
@@ -25,11 +26,14 @@ def flat_edges(code: Column) -> Column:
 
 def tree_edges(code: Column) -> Column:
     """A node per prefix; its children are the prefixes one level finer."""
-    path = prefixes(code)
-    return F.transform(
-        path,
-        lambda p, i: F.struct(F.coalesce(F.get(path, i - 1), F.lit(ROOT)).alias("parent"), p.alias("child")),
-    )
+
+    def steps(path: Column) -> Column:
+        return F.transform(
+            path,
+            lambda p, i: F.struct(F.coalesce(F.get(path, i - 1), F.lit(ROOT)).alias("parent"), p.alias("child")),
+        )
+
+    return let(prefixes(code), steps)
 
 
 def level_edges(code: Column) -> Column:
@@ -43,18 +47,21 @@ def level_edges(code: Column) -> Column:
 
 
 def distinct_labels(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
-    """(*by, text, n): what has to be predicted, and how many rows will receive it."""
-    return (
-        df.where(F.col(label).isNotNull())
-        .groupBy(*(by or []), F.col(label).alias("text"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """(*by, id, text, n): what has to be predicted, and how many rows will receive it."""
+    text = F.col(label)
+    labels = df.where(text.isNotNull()).groupBy(*(by or []), text.alias("text"))
+    return labels.agg(F.count(F.lit(1)).alias("n")).withColumn("id", text_id(F.col("text")))
+
+
+def at_root(items: DataFrame) -> DataFrame:
+    return word_rows(items.withColumn("parent", F.lit(ROOT)))
 
 
 def copy_to_rows(df: DataFrame, answers: DataFrame, label: str, order_col: str) -> DataFrame:
-    """Give every row with a label the answer of its label; `answers` has (text, n, ...)."""
-    rows = df.where(F.col(label).isNotNull())
-    return join_weighted(rows, answers.withColumnRenamed("text", label), [label], [order_col], "n")
+    """Give every row with a label the answer of its label; `answers` has (id, n, ...)."""
+    rows = df.where(F.col(label).isNotNull()).withColumn("__id", text_id(F.col(label)))
+    joined = join_weighted(rows, answers.withColumnRenamed("id", "__id"), ["__id"], [order_col], "n")
+    return joined.drop("__id")
 
 
 def fit_flat(train: DataFrame, code: str, label: str) -> Model:
@@ -74,10 +81,9 @@ def predict_distinct(
 
     Rows without a description are dropped.
     """
-    items = distinct_labels(df, label).withColumn("parent", F.lit(ROOT))
-    answers = predict(items, model).select("text", "n", F.col("pred").alias(out))
+    answers = predict(at_root(distinct_labels(df, label)), model).select("id", "n", F.col("pred").alias(out))
     table = descriptions(nomenclature, "poste").toDF(out, out_description)
-    described = join_lookup(answers, table, [out], ["text"])
+    described = join_lookup(answers, table, [out], ["id"])
     return copy_to_rows(df, described, label, order_col)
 
 
@@ -85,9 +91,8 @@ def flat_classifier(
     train: DataFrame, test: DataFrame, code: str, label: str, order_col: str = "ROW_ID"
 ) -> DataFrame:
     """Test rows with FLAT_PRED and CONFIDENCE."""
-    items = distinct_labels(test, label).withColumn("parent", F.lit(ROOT))
-    answers = predict(items, fit_flat(train, code, label)).select(
-        "text", "n", F.col("pred").alias("FLAT_PRED"), F.col("confidence").alias("CONFIDENCE")
+    answers = predict(at_root(distinct_labels(test, label)), fit_flat(train, code, label)).select(
+        "id", "n", F.col("pred").alias("FLAT_PRED"), F.col("confidence").alias("CONFIDENCE")
     )
     return copy_to_rows(test, answers, label, order_col)
 
@@ -121,16 +126,15 @@ def lcpn_classifier(
     stop before the finest level are dropped.
     """
     model = fit(count_docs(train, code, label), tree_edges)
-    items = distinct_labels(test, label).select("text", F.lit(ROOT).alias("parent"))
-    for _ in LEVELS:
-        reached = predict(items, model)
-        items = reached.select("text", F.coalesce("pred", "parent").alias("parent"))
-    complete = items.where(F.length("parent") == CODE_LENGTH)
-    rest = [c for c in test.columns if c != label]
-    first = test.groupBy(F.col(label).alias("text")).agg(F.min_by(F.struct(*rest), order_col).alias("__row"))
-    return complete.join(first, "text").select(
-        F.col("text").alias(label), F.col("parent").alias("LCPN_PRED"), "__row.*"
-    )
+    tokens = stage(word_rows(distinct_labels(test, label).drop("n")), "words")
+    reached = tokens.withColumn("parent", F.lit(ROOT))
+    for step in range(len(LEVELS)):
+        paths = predict(reached, model).select("id", F.coalesce("pred", "parent").alias("parent"))
+        if step < len(LEVELS) - 1:
+            reached = tokens.join(paths, "id")
+    complete = paths.where(F.length("parent") == CODE_LENGTH)
+    first = test.groupBy(text_id(F.col(label)).alias("id")).agg(F.min_by(F.struct("*"), order_col).alias("__row"))
+    return complete.join(first, "id").select("__row.*", F.col("parent").alias("LCPN_PRED"))
 
 
 def backoff_prediction(threshold: float) -> Column:
@@ -151,14 +155,15 @@ def lcpl_classifier(
 ) -> DataFrame:
     """Test rows with an independent prediction and margin per level, and the back-off choice CONFIDENCE_PRED."""
     model = fit(count_docs(train, code, label), level_edges)
-    items = distinct_labels(test, label).select("text", "n", F.explode(F.array(*[F.lit(n) for n in LEVELS])).alias("parent"))
-    scored = predict(items, model)
+    items = distinct_labels(test, label)
+    levels = F.explode(F.array(*[F.lit(n) for n in LEVELS])).alias("parent")
+    scored = predict(word_rows(items.select("id", "text", "n", levels)), model)
     columns = []
     for name in LEVELS:
         here = F.col("parent") == name
         columns.append(F.max(F.when(here, F.col("pred"))).alias(f"{name.upper()}_PRED"))
         columns.append(F.max(F.when(here, F.col("margin"))).alias(f"DIFF_PROB_{name.upper()}"))
-    wide = scored.groupBy("text", "n").agg(*columns).withColumn("CONFIDENCE_PRED", backoff_prediction(threshold))
+    wide = scored.groupBy("id", "n").agg(*columns).withColumn("CONFIDENCE_PRED", backoff_prediction(threshold))
     return copy_to_rows(test, wide, label, order_col)
 
 
@@ -168,10 +173,10 @@ def _scored_pairs(train_docs: DataFrame, test_docs: DataFrame, by: str) -> DataF
     The test side is counted per (by, code, text), so predictions never go back to single rows.
     """
     model = fit(train_docs, flat_edges, [by])
-    items = test_docs.select(by, "text", F.lit(ROOT).alias("parent")).distinct()
-    predicted = predict(items, model).select(by, "text", "pred")
+    named = test_docs.withColumn("id", text_id(F.col("text")))
+    predicted = predict(at_root(named.select(by, "id", "text").distinct()), model).select(by, "id", "pred")
     return (
-        test_docs.join(predicted, [by, "text"])
+        named.join(predicted, [by, "id"])
         .groupBy(by, F.col("code").alias("true"), "pred")
         .agg(F.sum("n").alias("n"))
     )

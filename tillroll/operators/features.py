@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.text import words
+from tillroll.functions.text import let, words
 from tillroll.plans.skew import join_weighted
 from tillroll.session import stage
 
@@ -19,10 +19,10 @@ def _slices(length: Column, n: int, cut) -> Column:
 def word_ngrams(tokens: Column, low: int, high: int) -> Column:
     """All runs of `low` to `high` neighbouring tokens, joined by a blank."""
 
-    def runs(n: int) -> Column:
-        return _slices(F.size(tokens), n, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    def runs(toks: Column, n: int) -> Column:
+        return _slices(F.size(toks), n, lambda i: F.array_join(F.slice(toks, i, n), " "))
 
-    return F.concat(*[runs(n) for n in range(low, high + 1)])
+    return let(tokens, lambda toks: F.concat(*[runs(toks, n) for n in range(low, high + 1)]))
 
 
 def char_ngrams(word: Column, low: int, high: int) -> Column:

@@ -27,6 +27,8 @@ def local_session(app_name: str, cores: str = "8", shuffle_partitions: int = 8)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # small tables, costly expressions: let adaptive execution keep small partitions
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in CLUSTER_CONF.items():
         builder = builder.config(key, value)
