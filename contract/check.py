@@ -1,6 +1,8 @@
 """Run queries on both engines and compare rows, names, types and values.
 
-    python -m contract.check [sf_dir] [query ...]
+    python -m contract.check [key=value ...] [sf_dir] [query ...]
+
+Settings such as spark.sql.autoBroadcastJoinThreshold=-1 force the ways that large tables take.
 """
 
 from __future__ import annotations
@@ -50,8 +52,12 @@ def main(argv: list[str]) -> int:
     from contract.queries import QUERIES
     from tillroll.session import local_session
 
+    settings = [a.split("=", 1) for a in argv if "=" in a]
+    argv = [a for a in argv if "=" not in a]
     sf_dir = argv[0] if argv else "/root/testdata/sf0.001"
     spark: SparkSession = local_session("check")
+    for key, value in settings:
+        spark.conf.set(key, value)
     con, failed = connect(sf_dir), 0
     for name in argv[1:] or QUERIES:
         start = time.time()

@@ -146,6 +146,15 @@ NEEDS = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read as fewer partitions than there are cores is dealt out over them.
+
+    The test tables are files with a single row group. Large tables pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _REGISTERED = "contract.sf_dir"
 
 
@@ -153,7 +162,7 @@ def register(spark: SparkSession, sf_dir: str) -> None:
     if spark.conf.get(_REGISTERED, None) == sf_dir:
         return
     for table in TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")).createOrReplaceTempView(table)
     for name, text in VIEWS.items():
         spark.sql(text).createOrReplaceTempView(name)
     spark.conf.set(_REGISTERED, sf_dir)

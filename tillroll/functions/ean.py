@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,15 @@ def normalise_ean(ean: Column) -> Column:
     return F.regexp_replace(ean, rf"(?s)^(?:{to_13}|{to_8})\z", "$1$2")
 
 
+def has_length(ean: Column, lengths: Sequence[int], above: int | None = None) -> Column:
+    """Whether the text has one of these lengths or more than `above` characters.
+
+    A single use of the column, since a filter on it is pushed below the cleaning.
+    """
+    options = [f".{{{n}}}" for n in lengths] + ([f".{{{above + 1},}}"] if above is not None else [])
+    return ean.rlike(rf"(?s)^(?:{'|'.join(options)})\z")
+
+
 def is_standard(ean: Column) -> Column:
     return F.length(ean).isin(*STANDARD_LENGTHS)
 

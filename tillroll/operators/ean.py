@@ -44,12 +44,14 @@ def reconstruct(
     """
     if mode not in ("first", "lcs"):
         raise ValueError(f"unknown mode: {mode}")
-    rows = df.where(F.col(label).isNotNull() & F.col(ean).isNotNull())
-    standard = fe.is_standard(F.col(ean))
-    repairable = ~standard & (F.length(ean) >= min_length)
+    rows = df.where(F.col(label).isNotNull())
+    standard = fe.has_length(F.col(ean), fe.STANDARD_LENGTHS)
+    other = [n for n in range(min_length, max(fe.STANDARD_LENGTHS)) if n not in fe.STANDARD_LENGTHS]
+    repairable = fe.has_length(F.col(ean), other, above=max(fe.STANDARD_LENGTHS))
+    hopeless = [n for n in range(min_length) if n not in fe.STANDARD_LENGTHS]
     # Standard barcodes, usually nearly all rows, stay where they are: only
     # the repairable ones are shuffled.
-    settled = rows.where(~repairable).withColumn(out, F.col(ean))
+    settled = rows.where(fe.has_length(F.col(ean), [*hopeless, *fe.STANDARD_LENGTHS])).withColumn(out, F.col(ean))
     broken = rows.where(repairable)
     # Pairs first: hash aggregation with map-side combining, and a frequent
     # label is spread over its barcodes before it is reduced to one row.
