@@ -43,7 +43,8 @@ def drop_similar_labels(
 
     Similarity is computed once per distinct pair of labels.
     """
-    rows = next_in_group(df.select(ean, label, order_col), [ean], order_col, label, "__next")
+    known = df.where(F.col(ean).isNotNull()).select(ean, label, order_col)
+    rows = next_in_group(known, [ean], order_col, label, "__next")
     pairs = rows.where(F.col("__next").isNotNull()).select(
         F.col(order_col).alias("__this"),
         F.col(label).alias("__a"),
