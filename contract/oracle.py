@@ -162,6 +162,11 @@ def one_space(label: str) -> str:
     return f"regexp_replace({label}, ' {{2,}}', ' ', 'g')"
 
 
+def braces(sql: str) -> str:
+    """Shield braces from a later format()."""
+    return sql.replace("{", "{{").replace("}", "}}")
+
+
 def labels_query(name: str, expr: str) -> None:
     add(name, "raw_labels", f"SELECT row_id, {expr} AS label FROM (SELECT row_id, upper(label) AS o FROM raw_labels) t")
 
@@ -194,16 +199,23 @@ add(
     "texts AS (SELECT row_id, upper(label) AS cleaned FROM raw_labels)",
     BASE_FORMS,
 )
+TEXTS = (
+    "texts AS MATERIALIZED (SELECT row_id, "
+    + braces(one_space(no_short_words("regexp_replace(s, '[0-9]', '', 'g')")))
+    + " AS cleaned FROM (SELECT row_id, "
+    + braces(no_stopwords(one_space("r")))
+    + " AS s FROM (SELECT row_id, "
+    + braces(rules_sql("o"))
+    + " AS r FROM (SELECT row_id, upper({label}) AS o FROM {rows}"
+    " WHERE substr({ean}, 1, 3) NOT IN ('378', '977', '978', '979')) t) u) v)"
+)
 add("drop_short_labels", "raw_labels", "SELECT * FROM raw_labels WHERE length(label) >= 3")
 add(
     "clean_label",
     ("raw_labels", "tokens_base"),
     """SELECT row_id AS ROW_ID, ean AS EAN_FINAL, form AS DESCRIPTION_EAN_FINAL
     FROM raw_labels JOIN forms USING (row_id) WHERE length(form) >= 3""",
-    f"""texts AS MATERIALIZED (SELECT row_id, {one_space(no_short_words("regexp_replace(s, '[0-9]', '', 'g')"))} AS cleaned
-      FROM (SELECT row_id, {no_stopwords(one_space('r'))} AS s FROM
-        (SELECT row_id, {rules_sql('o')} AS r FROM (SELECT row_id, upper(label) AS o FROM raw_labels
-          WHERE substr(ean, 1, 3) NOT IN ('378', '977', '978', '979')) t) u) v)""",
+    TEXTS.format(label="label", ean="ean", rows="raw_labels"),
     BASE_FORMS,
 )
 add("keep_columns", "receipts", "SELECT ean AS EAN, description_ean AS DESCRIPTION_EAN, ca AS CA FROM receipts")
@@ -756,3 +768,39 @@ report(
     max(FREQ_CORRECT_PRED) AS max_rate FROM accuracy WHERE CATEGORY = 'Classe'""",
     ACCURACY,
 )
+
+# whole jobs
+
+add(
+    "clean_and_label",
+    (*[t for t in TABLES if t != "cleaned"], "receipts", "tokens_base"),
+    f"""SELECT {COLUMNS}, CA_PRIX_QTE, l.id_famille AS ID_FAMILLE, true_coicop AS TRUE_COICOP, true_desc AS DESC_COICOP_TRUE,
+    conflict AS TRUE_COICOP_CONFLICT, conflict_desc AS DESC_COICOP_TRUE_CONFLICT
+    FROM labelled l JOIN (SELECT row_id AS key, ca_prix_qte AS CA_PRIX_QTE FROM receipts) x ON key = l.row_id""",
+    NORM,
+    REPAIRED,
+    TEXTS.format(
+        label="DESCRIPTION_EAN",
+        ean="EAN_RECONSTRUCTED",
+        rows="(SELECT * FROM repaired WHERE length(EAN_RECONSTRUCTED) IN (8, 13)) valid",
+    ),
+    BASE_FORMS,
+    """cleaned AS MATERIALIZED (SELECT r.row_id, EAN_RECONSTRUCTED AS ean_final, form AS description_ean_final,
+      ID_FAMILLE AS id_famille, CA AS ca FROM repaired r JOIN forms f ON f.row_id = r.row_id WHERE length(form) >= 3)""",
+    *ALL_STEPS,
+)
+add(
+    "predict_and_report",
+    ("predictions", "nomen"),
+    "SELECT * FROM accuracy",
+    PARTED,
+    TRAIN,
+    TEST,
+    model(TREE_EDGES),
+    *ROUTE,
+    """routed AS (SELECT arg_min(row_id, row_id) AS row_id, arg_min(true_coicop, row_id) AS true_coicop, any_value(parent) AS coicop_predicted
+      FROM parted JOIN at4 ON text = label WHERE test AND length(parent) = 10 GROUP BY label)""",
+    LEVELS.replace("ca, ", "").replace("FROM predictions", "FROM routed"),
+    NAMED,
+    ACCURACY,
+)

@@ -27,6 +27,7 @@ from tillroll.operators import (
     stats,
     tune,
 )
+from tillroll.plans import flow
 from tillroll.session import shared_dir
 from tillroll.sources import readers, writers
 
@@ -624,3 +625,26 @@ def flows_of(spark, sf):
 @query
 def column_range(spark, sf):
     return reports.column_range(accuracy_table(spark, sf), "Classe")
+
+
+# whole jobs
+
+
+@query
+def clean_and_label(spark, sf):
+    survey, variety = _survey(spark, sf)
+    tables = flow.ReferenceTables(
+        view(spark, sf, "ean_family"),
+        _family_code(spark, sf),
+        survey,
+        variety,
+        view(spark, sf, "label_nomen"),
+        view(spark, sf, "tokens_base"),
+    )
+    return flow.clean_and_label(upper(spark, sf, "receipts"), tables)
+
+
+@query
+def predict_and_report(spark, sf):
+    rows = view(spark, sf, "predictions").select("row_id", "label", "true_coicop")
+    return flow.predict_and_report(rows, view(spark, sf, "nomen"), "true_coicop", "label", "row_id")

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("orders", "part", "documents", "labels")
+TABLES = ("orders", "part", "documents")
+FACTS = ("orders", "documents")
 
 VIEWS: dict[str, str] = {
     "receipts": """
@@ -162,7 +163,8 @@ def register(spark: SparkSession, sf_dir: str) -> None:
     if spark.conf.get(_REGISTERED, None) == sf_dir:
         return
     for table in TABLES:
-        spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")).createOrReplaceTempView(table)
+        df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        (spread(df) if table in FACTS else df).createOrReplaceTempView(table)
     for name, text in VIEWS.items():
         spark.sql(text).createOrReplaceTempView(name)
     spark.conf.set(_REGISTERED, sf_dir)

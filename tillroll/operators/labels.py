@@ -14,6 +14,7 @@ from tillroll.functions.stopwords import FRENCH
 from tillroll.operators.ean import keep_columns
 from tillroll.plans.ordering import next_in_group
 from tillroll.plans.skew import join_lookup, join_weighted
+from tillroll.session import stage
 from tillroll.sources.readers import upper_names
 
 KEEP = ("EAN_FINAL", "ID_FAMILLE", "CA", "CA_PRIX_QTE")
@@ -142,8 +143,11 @@ def cleaning_report(
     counted on the rows the step before it leaves."""
     no_editions = df.where(~fe.is_edition(F.col(ean)))
     distinct_enough = drop_similar_labels(no_editions, threshold, label, ean, order_col)
-    left = distinct_enough.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.length(label) < len_min).alias("short")
+    left = stage(
+        distinct_enough.agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(F.length(label) < len_min).alias("short")
+        ),
+        "left",
     )
     counts = df.agg(F.count(F.lit(1)).alias("all"), F.count_if(fe.is_edition(F.col(ean))).alias("edition"))
     removed = {
