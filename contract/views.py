@@ -43,8 +43,8 @@ FROM (SELECT o_orderkey AS row_id, p_name AS label, o_totalprice AS ca,
     "nomenclature": """
 SELECT DISTINCT n AS code_len, substr(true_coicop, 1, n) AS code,
   'Desc ' || substr(true_coicop, 1, n) || CASE WHEN n = 10 THEN ' n.c.a.' ELSE '' END AS description
-FROM predictions CROSS JOIN (VALUES (2), (4), (6), (8), (10)) AS v(n)
-WHERE substr(true_coicop, 1, 2) <> '07'""",
+FROM (SELECT DISTINCT true_coicop FROM predictions WHERE substr(true_coicop, 1, 2) <> '07') t
+  CROSS JOIN (VALUES (2), (4), (6), (8), (10)) AS v(n)""",
     "nomen": """
 SELECT CASE code_len WHEN 2 THEN 'division' WHEN 4 THEN 'groupe' WHEN 6 THEN 'classe' WHEN 8 THEN 'sous-classe' ELSE 'poste' END AS level,
   code, description FROM nomenclature""",
