@@ -255,7 +255,7 @@ add(
 # labelling
 
 add(
-    "lookup_value",
+    "lookup",
     ("cleaned", "ean_family"),
     """SELECT row_id AS ROW_ID, ean_final AS EAN_FINAL, f.id_famille AS FAMILY
     FROM cleaned LEFT JOIN ean_family f ON f.ean = ean_final""",

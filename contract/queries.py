@@ -36,7 +36,7 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -103,7 +103,8 @@ def field_survey_table(spark, sf):
 
 @query
 def variety_code_table(spark, sf):
-    return readers.variety_code_table(view(spark, sf, "variety_code_rows"))
+    raw = readers.read_strings(spark, _csv(view(spark, sf, "variety_code_rows"), "variety_code"))
+    return readers.variety_code_table(raw.withColumn("row_id", F.col("row_id").cast("long")))
 
 
 @query
@@ -256,7 +257,7 @@ def keep_columns(spark, sf):
 
 
 @query
-def lookup_value(spark, sf):
+def lookup_(spark, sf):
     rows = upper(spark, sf, "cleaned").select("ROW_ID", "EAN_FINAL")
     return lookup.lookup(rows, "EAN_FINAL", view(spark, sf, "ean_family"), "ean", "id_famille", "FAMILY")
 
@@ -480,6 +481,15 @@ def flat_classifier_documents(spark, sf):
     )
 
 
+@query
+def linear_classifier(spark, sf):
+    """Spark ML on the same task, on the divisions of the code."""
+    rows = view(spark, sf, "predictions").select("row_id", "label", F.substring("true_coicop", 1, 2).alias("code"))
+    setting = tune.settings([1.0], [(1, 2)], [10.0], ["logistic"], [])[0]
+    train, test = split.train_test_split(rows, "row_id")
+    return tune.linear_classifier(train, test, "code", "label", setting, "row_id", max_iter=10)
+
+
 @query
 def lcpn_training_sets(spark, sf):
     return classify.lcpn_training_sets(view(spark, sf, "predictions"), "true_coicop", "label")

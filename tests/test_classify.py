@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillroll.operators import classify, split
-from tillroll.operators.tune import settings
+from tillroll.operators.tune import best_setting, grid_search, linear_classifier, settings
 
 CODES = ["01.1.1.1.1", "01.1.1.1.2", "01.2.1.1.1", "02.1.1.1.1", "02.1.1.2.1"]
 WORDS = ["PAIN", "LAIT", "EAU", "RIZ", "SEL", "VIN", "THE"]
@@ -117,3 +117,27 @@ def test_settings_use_gamma_only_where_it_exists():
     out = settings([0.5, 1.0], [(1, 1)], [1.0], ["linear", "rbf"], [0.1, 0.2])
     assert len(out) == 2 * (1 + 2)
     assert {s.gamma for s in out if s.kernel == "linear"} == {None}
+
+
+def learnable(n):
+    """The code follows from the first word, which never comes second."""
+    return [(i, f"{WORDS[i % 3]} {WORDS[3 + i % 4]}", CODES[i % 3]) for i in range(n)]
+
+
+def test_linear_classifier(spark):
+    train, test = frame(spark, learnable(90)), frame(spark, learnable(30))
+    for kernel in ("logistic", "linear"):
+        setting = settings([1.0], [(1, 1)], [10.0], [kernel], [])[0]
+        out = linear_classifier(train, test, "code", "label", setting, max_iter=20).collect()
+        assert len(out) == 30
+        assert all(r.FLAT_PRED == r.code for r in out)
+        assert (out[0].CONFIDENCE is not None) == (kernel == "logistic")
+
+
+def test_grid_search_leaves_out_what_fails(spark):
+    choices = settings([1.0], [(1, 1), (1, 2)], [10.0], ["logistic", "rbf"], [0.1])
+    results = grid_search(frame(spark, learnable(90)), choices, "code", "label", k=2, max_iter=10)
+    assert {r.kernel for r in results.collect()} == {"logistic"}
+    assert results.count() == 2
+    best = best_setting(results).first()
+    assert best.f1 == max(r.f1 for r in results.collect())

@@ -10,16 +10,19 @@ from dataclasses import astuple, dataclass
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, Normalizer, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.operators.classify import kfold_docs
+from tillroll.operators.bayes import count_docs
+from tillroll.operators.classify import copy_to_rows, distinct_labels, kfold_docs
 from tillroll.operators.evaluate import weighted_scores
 from tillroll.operators.features import terms_of
 
-# Kernels that take a gamma.
+# Kernels that take a gamma.
 WITH_GAMMA = ("rbf", "sigmoid")
+# Size of the vocabulary that a fitted model carries; the most frequent terms are kept.
 MAX_TERMS = 1_000_000
 
 RESULT = T.StructType(
@@ -85,14 +88,41 @@ def pipeline(setting: Setting, text: str = "text", code: str = "code", max_iter:
     )
 
 
-def _fold_score(train: DataFrame, held: DataFrame, setting: Setting, max_iter: int) -> float:
+def _predicted(train: DataFrame, texts: DataFrame, setting: Setting, max_iter: int) -> DataFrame:
+    """`texts` (text, ...) with `pred` and the classifier's own columns, after fitting on (code, text, n)."""
     terms = terms_of(F.col("text"), setting.ngram_low, setting.ngram_high).alias("terms")
     fitted = pipeline(setting, max_iter=max_iter).fit(train.select("code", "n", terms))
     names = IndexToString(inputCol="y_pred", outputCol="pred", labels=fitted.stages[0].labels)
-    # validation rows keep classes that training never saw
-    scored = held.select("code", "n", terms)
-    for stage in [*fitted.stages[1:], names]:
-        scored = stage.transform(scored)
+    # without the indexer: texts to predict may have unknown classes or none
+    out = texts.select("*", terms)
+    for step in [*fitted.stages[1:], names]:
+        out = step.transform(out)
+    return out
+
+
+def linear_classifier(
+    train: DataFrame,
+    test: DataFrame,
+    code: str,
+    label: str,
+    setting: Setting,
+    order_col: str = "ROW_ID",
+    max_iter: int = 50,
+) -> DataFrame:
+    """Test rows with FLAT_PRED and CONFIDENCE (null for classifiers without probabilities).
+
+    Fitted on counted distinct rows with weights; each distinct label is predicted once.
+    """
+    scored = _predicted(count_docs(train, code, label), distinct_labels(test, label), setting, max_iter)
+    confidence = F.lit(None).cast("double")
+    if "probability" in scored.columns:
+        confidence = F.array_max(vector_to_array("probability"))
+    answers = scored.select("id", "n", F.col("pred").alias("FLAT_PRED"), confidence.alias("CONFIDENCE"))
+    return copy_to_rows(test, answers, label, order_col)
+
+
+def _fold_score(train: DataFrame, held: DataFrame, setting: Setting, max_iter: int) -> float:
+    scored = _predicted(train, held, setting, max_iter)
     pairs = scored.groupBy(F.col("code").alias("true"), "pred").agg(F.sum("n").alias("n"))
     return weighted_scores(pairs).first()["f1"]
 
