@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tillroll.functions.text import let
+
 # Pattern and replacement, in the order of application.
 LABEL_RULES: tuple[tuple[str, str], ...] = (
     # notes that are no part of a product name
@@ -131,7 +133,12 @@ def _one_rule(text: Column, original: Column, pattern: str, to: str, mask: str)
         return F.replace(text, search, F.lit(to))
     pattern = "(?U)" + pattern
     if mask == "none":
-        return F.regexp_replace(text, F.lit(pattern), F.lit(to))
-    # "$0" puts back what matched, so the running text appears once per rule
-    put = F.when(original.rlike(pattern), F.lit(to)).otherwise(F.lit("$0"))
-    return F.regexp_replace(text, F.lit(pattern), put)
+        return F.regexp_replace(text, pattern, to)
+    # The running text is bound once, so the expression grows by one step per
+    # rule, and most rules end with the first test: no match, nothing to do.
+    return let(
+        text,
+        lambda now: F.when(
+            now.rlike(pattern) & original.rlike(pattern), F.regexp_replace(now, pattern, to)
+        ).otherwise(now),
+    )
