@@ -26,3 +26,12 @@ def op2_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = secrets.train(*secrets.labelled_candidates(docs))
     return secrets.find_secrets(docs, model)
+
+
+@query
+def op6_pii(spark, sf_dir):
+    from tillroll.llm import pii
+
+    docs = table(spark, sf_dir, "documents")
+    model = pii.train(*pii.labelled_sequences(docs))
+    return pii.find_pii(docs, model)
