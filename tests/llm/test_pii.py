@@ -82,6 +82,16 @@ def test_query_keeps_base_spans(spark):
         same(texts[r["doc_id"]], r)
 
 
+def test_special_words():
+    text = b"plain dots. a-b (x) 7 x1 @ u@v +x x+y $$$ 1.2.3.4"
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    starts, ends, code, line = pii.words(data, offsets)
+    got = [text[a:b] for a, b, s in zip(starts, ends, pii.special(code)) if s]
+    assert got == [b"7", b"x1", b"@", b"u@v", b"+x", b"1.2.3.4"]
+    first, length = pii.sequences(code, line, near=1)
+    assert [(a, a + n) for a, n in zip(first, length)] == [(3, 12)]
+
+
 def test_viterbi_is_the_best_of_all_labellings():
     rng = np.random.default_rng(3)
     model = crf.LinearChain(*(rng.normal(size=(6, 3)) for _ in range(3)), rng.normal(size=(3, 3)))

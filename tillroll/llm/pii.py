@@ -117,7 +117,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def special(code: np.ndarray) -> np.ndarray:
     """Words with a digit, an at sign or a leading plus."""
-    return (code >= N_CODES // 8) | (code // (N_CODES // 16) % 2 == 1) | (code // 12 % 4 // 2 == 1)
+    return (code // 96 > 0) | (code // 12 % 2 == 1)
 
 
 def sequences(code: np.ndarray, line: np.ndarray, near: int = 3) -> tuple[np.ndarray, np.ndarray]:

@@ -35,3 +35,10 @@ def op6_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = pii.train(*pii.labelled_sequences(docs))
     return pii.find_pii(docs, model)
+
+
+@query
+def op8_quality(spark, sf_dir):
+    from tillroll.llm import quality
+
+    return quality.judge(table(spark, sf_dir, "documents"))
