@@ -42,3 +42,10 @@ def op8_quality(spark, sf_dir):
     from tillroll.llm import quality
 
     return quality.judge(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_simhash(spark, sf_dir):
+    from tillroll.llm import simhash
+
+    return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=3, radius=3)
