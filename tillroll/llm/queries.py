@@ -49,3 +49,20 @@ def op9_simhash(spark, sf_dir):
     from tillroll.llm import simhash
 
     return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
+@query
+def op5_mixing(spark, sf_dir):
+    from tillroll.llm import mixing
+
+    mix = mixing.mix(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op7_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from tillroll.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
