@@ -66,3 +66,17 @@ FROM j LEFT JOIN pick ON j.k_lang = pick.k_lang AND j.k_source = pick.k_source
   LEFT JOIN f ON f.level = pick.level AND f.k_lang = CASE WHEN pick.level = 'every' THEN '' ELSE j.k_lang END
     AND f.k_source = CASE WHEN pick.level = 'fine' THEN j.k_source ELSE '' END
 """
+
+ORACLE["op1_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""

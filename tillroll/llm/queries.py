@@ -75,3 +75,30 @@ def op3_repeats(spark, sf_dir):
 
     done = repeats.remove_repeats(table(spark, sf_dir, "documents"), window=200)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op1_topk(spark, sf_dir):
+    from tillroll.llm import topk
+
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+@query
+def op10_language(spark, sf_dir):
+    from tillroll.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = language.is_held_out("doc_id")
+    profiles = language.learn(docs.where(~held_out))
+    said = language.predict(docs, profiles)
+    return said.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    from tillroll.llm import unigram
+
+    return unigram.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
