@@ -244,12 +244,13 @@ add(
 )
 add(
     "cleaning_report",
-    "raw_labels",
+    ("raw_labels", "tokens_base"),
     """SELECT 'edition' AS step, (SELECT count(*) FROM raw_labels) - (SELECT count(*) FROM books) AS rows_removed
-    UNION ALL SELECT 'similar', (SELECT count(*) FROM losers)
-    UNION ALL SELECT 'short', count(*) FROM books WHERE length(label) < 3 AND row_id NOT IN (SELECT row_id FROM losers)""",
+    UNION ALL SELECT 'short', (SELECT count(*) FROM books) - (SELECT count(*) FROM raw_labels JOIN forms USING (row_id)
+      WHERE length(form) >= 3)""",
+    TEXTS.format(label="label", ean="ean", rows="raw_labels"),
+    BASE_FORMS,
     "books AS (SELECT * FROM raw_labels WHERE substr(ean, 1, 3) NOT IN ('378', '977', '978', '979'))",
-    ALIKE.format(rows="books"),
 )
 
 # labelling

@@ -94,7 +94,8 @@ def family_code_table(spark, sf):
 def field_survey_table(spark, sf):
     rows = view(spark, sf, "field_survey_rows")
     # every 50th line has one field too many and has to be skipped
-    line = F.concat_ws(",", *rows.columns, F.when(F.col("row_id") % 50 == 0, F.lit("surplus")))
+    surplus = F.when(F.col("row_id") % 100 == 0, F.lit("surplus")).when(F.col("row_id") % 50 == 0, F.lit(""))
+    line = F.concat_ws(",", *rows.columns, surplus)
     path = _path(spark, "survey")
     rows.select(line).write.text(path)
     raw = readers.read_survey(spark, path, rows.columns, header=False)
@@ -391,7 +392,8 @@ def receipt_summary(spark, sf):
 
 @query
 def cleaning_report(spark, sf):
-    return labels.cleaning_report(view(spark, sf, "raw_labels"), "ean", "label", "row_id")
+    rows = view(spark, sf, "raw_labels").toDF("ROW_ID", "EAN_FINAL", "DESCRIPTION_EAN")
+    return labels.cleaning_report(rows, view(spark, sf, "tokens_base"))
 
 
 # hierarchy

@@ -75,3 +75,9 @@ def test_sankey(three, names):
     flows = {(r.source, r.target): r.value for r in reports.sankey_flows(table).collect()}
     assert flows == {(A, f"{A} "): 1, (A, f"{B} "): 1, (B, "Non suivi"): 1}
     assert [r.CATEGORY for r in table.collect()][0] == "Poste"
+
+
+def test_missing_prediction_counts_against_recall(spark):
+    df = spark.createDataFrame([("01.1.1.1.1", "01.1.1.1.1"), ("02.1.1.1.1", None)], "t string, p string")
+    got = evaluate.hierarchical_metrics(df, "t", "p").first()
+    assert (got["precision"], got["recall"]) == (1.0, 0.5)

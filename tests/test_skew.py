@@ -52,6 +52,27 @@ def test_no_partition_gets_a_heavy_key(spark, rows, answers, no_broadcast):
     assert max(sizes) < 2 * 30_000 / len(sizes)
 
 
+@pytest.mark.parametrize("large", [False, True])
+@pytest.mark.parametrize("lookup", [False, True])
+def test_heavy_key_without_answer_is_split(spark, rows, no_broadcast, monkeypatch, lookup, large):
+    if large:
+        monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    counts = skew.key_counts(rows, ["key"]).where("key != 'hot'")
+    table = counts.select("key", "__n", F.concat(F.lit("for "), "key").alias("answer"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        if lookup:
+            joined = skew.join_lookup(rows, table.drop("__n"), ["key"], ["id"])
+        else:
+            joined = skew.join_weighted(rows, table, ["key"], ["id"], "__n")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = F.when(F.col("key") != "hot", F.concat(F.lit("for "), "key"))
+    assert joined.where(~F.col("answer").eqNullSafe(want)).count() == 0
+    assert sum(sizes) == 30_000 and max(sizes) < 2 * 30_000 / len(sizes)
+
+
 def test_position_over_block_and_span_borders(spark):
     ids = sorted({*range(50), *[(1 << 20) * k + 3 for k in range(1, 30)], *[(1 << 40) * k for k in range(1, 9)], 1 << 41 | 5})
     df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(7)

@@ -125,9 +125,14 @@ def accuracy_by_level(df: DataFrame, true: str, pred: str, sales: str | None = N
 
 
 def hierarchical_scores(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(*by, precision, recall, f1): shared ancestors over predicted and over true ancestors, codes included."""
-    true, pred = prefixes(F.col("true")), prefixes(F.col("pred"))
-    sums = pairs.where(F.col("pred").isNotNull()).groupBy(*(by or [])).agg(
+    """(*by, precision, recall, f1): shared ancestors over predicted and over true ancestors, codes included.
+
+    A row without prediction has no predicted ancestors; its true ones count.
+    """
+    none = F.array().cast("array<string>")
+    true = prefixes(F.col("true"))
+    pred = F.when(F.col("pred").isNotNull(), prefixes(F.col("pred"))).otherwise(none)
+    sums = pairs.groupBy(*(by or [])).agg(
         F.sum(F.size(F.array_intersect(true, pred)) * F.col("n")).alias("shared"),
         F.sum(F.size(pred) * F.col("n")).alias("predicted"),
         F.sum(F.size(true) * F.col("n")).alias("actual"),

@@ -133,27 +133,26 @@ def clean_label(
 
 def cleaning_report(
     df: DataFrame,
+    dictionary: DataFrame | None = None,
     ean: str = "EAN_FINAL",
     label: str = "DESCRIPTION_EAN",
     order_col: str = "ROW_ID",
-    threshold: float = 75,
+    stop: Sequence[str] = FRENCH,
     len_min: int = 3,
 ) -> DataFrame:
-    """(step, rows_removed): editions, then similar labels, then labels that are too short, each
-    counted on the rows the step before it leaves."""
-    no_editions = df.where(~fe.is_edition(F.col(ean)))
-    distinct_enough = drop_similar_labels(no_editions, threshold, label, ean, order_col)
-    left = stage(
-        distinct_enough.agg(
-            F.count(F.lit(1)).alias("rows"), F.count_if(F.length(label) < len_min).alias("short")
-        ),
-        "left",
-    )
-    counts = df.agg(F.count(F.lit(1)).alias("all"), F.count_if(fe.is_edition(F.col(ean))).alias("edition"))
-    removed = {
-        "edition": F.col("edition"),
-        "similar": F.col("all") - F.col("edition") - left.select("rows").scalar(),
-        "short": left.select("short").scalar(),
-    }
-    steps = [F.struct(F.lit(k).alias("step"), n.alias("rows_removed")) for k, n in removed.items()]
+    """(step, rows_removed) of `clean_label`: editions, then labels that are too short once cleaned.
+
+    A missing label counts as too short. The rows removed and the rows `clean_label` returns add up to
+    the rows of `df`.
+    """
+    out = "__final"
+    kept = clean_label(df, dictionary, ean, label, out, order_col, None, stop, len_min)
+    counts = df.agg(F.count(F.lit(1)).alias("all"))
+    left = drop_editions(df, ean).agg(F.count(F.lit(1)).alias("rows"))
+    both = stage(left.select("rows", kept.agg(F.count(F.lit(1)).alias("kept")).scalar().alias("kept")), "left")
+    rows, final = both.select("rows").scalar(), both.select("kept").scalar()
+    steps = [
+        F.struct(F.lit("edition").alias("step"), (F.col("all") - rows).alias("rows_removed")),
+        F.struct(F.lit("short").alias("step"), (rows - final).alias("rows_removed")),
+    ]
     return counts.select(F.inline(F.array(*steps)))

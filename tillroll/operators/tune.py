@@ -9,7 +9,7 @@ from dataclasses import astuple, dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, Normalizer, StringIndexer
+from pyspark.ml.feature import IDF, HashingTF, IndexToString, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +22,8 @@ from tillroll.operators.features import terms_of
 
 # Kernels that take a gamma.
 WITH_GAMMA = ("rbf", "sigmoid")
-# Size of the vocabulary that a fitted model carries; the most frequent terms are kept.
-MAX_TERMS = 1_000_000
+# Terms are hashed into this many features: none is dropped, and no vocabulary is collected.
+WIDTH = 1 << 18
 
 RESULT = T.StructType(
     [
@@ -74,12 +74,10 @@ def pipeline(setting: Setting, text: str = "text", code: str = "code", max_iter:
         learner = LogisticRegression(regParam=strength / 1000, maxIter=max_iter, **common)
     else:
         raise ValueError(f"no classifier for kernel {setting.kernel}")
-    counter = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=MAX_TERMS)
-    if setting.max_df < 1:  # from 1 on, Spark reads a number of texts
-        counter = counter.setMaxDF(setting.max_df)
+    counter = HashingTF(inputCol="terms", outputCol="tf", numFeatures=WIDTH)
     return Pipeline(
         stages=[
-            StringIndexer(inputCol=code, outputCol="y", handleInvalid="skip", stringOrderType="alphabetAsc"),
+            StringIndexer(inputCol=code, outputCol="y", handleInvalid="error", stringOrderType="alphabetAsc"),
             counter,
             IDF(inputCol="tf", outputCol="tfidf"),
             Normalizer(inputCol="tfidf", outputCol="features"),
@@ -88,13 +86,31 @@ def pipeline(setting: Setting, text: str = "text", code: str = "code", max_iter:
     )
 
 
+def _too_common(learned: DataFrame, max_df: float) -> list[str]:
+    """Terms in more than a share `max_df` of the rows that the texts stand for (`n`).
+
+    There are at most as many as terms per row, divided by `max_df`.
+    """
+    rows = learned.select(F.sum("n").alias("rows"))
+    terms = learned.select("n", F.explode(F.array_distinct("terms")).alias("term"))
+    counted = terms.groupBy("term").agg(F.sum("n").alias("n"))
+    return [r["term"] for r in counted.where(F.col("n") > max_df * rows.scalar()).select("term").collect()]
+
+
 def _predicted(train: DataFrame, texts: DataFrame, setting: Setting, max_iter: int) -> DataFrame:
     """`texts` (text, ...) with `pred` and the classifier's own columns, after fitting on (code, text, n)."""
     terms = terms_of(F.col("text"), setting.ngram_low, setting.ngram_high).alias("terms")
-    fitted = pipeline(setting, max_iter=max_iter).fit(train.select("code", "n", terms))
+    learned = train.select("code", "n", terms)
+    if setting.max_df < 1:
+        common = _too_common(learned, setting.max_df)
+        usual = F.filter("terms", lambda t: ~F.array_contains(F.array(*map(F.lit, common)).cast("array<string>"), t))
+        learned = learned.withColumn("terms", usual)
+    fitted = pipeline(setting, max_iter=max_iter).fit(learned)
     names = IndexToString(inputCol="y_pred", outputCol="pred", labels=fitted.stages[0].labels)
     # without the indexer: texts to predict may have unknown classes or none
     out = texts.select("*", terms)
+    if setting.max_df < 1:
+        out = out.withColumn("terms", usual)
     for step in [*fitted.stages[1:], names]:
         out = step.transform(out)
     return out

@@ -14,16 +14,21 @@ from tillroll.session import stage
 # the bound that makes broadcasting their answers safe.
 HEAVY_PARTS = 10_000
 
-# Rows that need no partner (null or already answered) are dealt out over this
-# many join buckets instead of meeting in the partition of the null key.
-SPREAD = 8192
+# Answers of heavy keys are broadcast up to this size; beyond it they are
+# copied to SALTS places each and joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+SALTS = 64
+
+
+def size_in_bytes(table: DataFrame) -> int:
+    """Catalyst's own size estimate; for a written table the size of its files."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fits_broadcast(table: DataFrame) -> bool:
     """Whether Catalyst's own size estimate lets it broadcast `table`."""
     conf = table.sparkSession._jsparkSession.sessionState().conf()
-    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= conf.autoBroadcastJoinThreshold()
+    return size_in_bytes(table) <= conf.autoBroadcastJoinThreshold()
 
 
 def heaviest(counted: DataFrame, weight: str) -> DataFrame:
@@ -56,7 +61,16 @@ def join_staged(
     """`join_weighted` for answers that are a written table already."""
     if fits_broadcast(answers):
         return _plain(rows, answers.drop(weight), keys)
-    return join_answers(rows, answers.drop(weight), keys, spread_by, heaviest(answers, weight))
+    answers = answers.drop(weight)
+    return join_answers(rows, answers, keys, spread_by, heavy_answers(rows, answers, keys))
+
+
+def heavy_answers(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row for every frequent key of `rows`, with its answer from `table` or nulls where it has none."""
+    keys = list(keys)
+    frequent = stage(heaviest(stage(key_counts(rows, keys), "counts"), "__n"), "frequent")
+    found = table.join(F.broadcast(frequent), keys, "left_semi")
+    return stage(frequent.join(found, keys, "left").select(*table.columns), "heavy")
 
 
 def join_lookup(
@@ -73,10 +87,7 @@ def join_lookup(
     table = stage(table, "lookup")
     if fits_broadcast(table):
         return _plain(rows, table, keys)
-    keys = list(keys)
-    frequent = stage(heaviest(stage(key_counts(rows, keys), "counts"), "__n"), "frequent")
-    heavy = table.join(F.broadcast(frequent), keys, "left_semi")
-    return join_answers(rows, table, keys, spread_by, heavy)
+    return join_answers(rows, table, keys, spread_by, heavy_answers(rows, table, keys))
 
 
 def _plain(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -91,12 +102,12 @@ def join_answers(
     spread_by: Sequence[str],
     heavy: DataFrame,
 ) -> DataFrame:
-    """Left join of `rows` to `answers`, which has one row per key; `heavy` is its part for heavy keys.
+    """Left join of `rows` to `answers`, which has one row per key; `heavy` has the heavy keys, with
+    their answers or nulls.
 
-    Answers of heavy keys travel by broadcast. The other keys are joined by
-    shuffle; rows that are already answered or have a null key take part in
-    that shuffle under a random-looking bucket derived from `spread_by`, so no
-    partition receives a whole heavy key.
+    Answers of heavy keys travel by broadcast, or salted where they are too large for that. The other
+    keys are joined by shuffle; rows of heavy keys and rows with a null key take part in that shuffle
+    under a 64-bit hash of `spread_by`, so no partition receives a whole heavy key.
     """
     keys = list(keys)
     values = [c for c in answers.columns if c not in keys]
@@ -104,24 +115,30 @@ def join_answers(
         *[F.col(k).alias(f"__h_{k}") for k in keys],
         F.struct(*values, F.lit(True).alias("__hit")).alias("__hot"),
     )
-    met = rows.join(
-        F.broadcast(heavy_side), _all_equal(rows, heavy_side, keys, "__h_"), "left"
-    ).drop(*[f"__h_{k}" for k in keys])
+    if size_in_bytes(heavy) <= BROADCAST_BYTES:
+        met = rows.join(F.broadcast(heavy_side), _all_equal(rows, heavy_side, keys, "__h_"), "left")
+    else:
+        salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+        heavy_side = heavy_side.withColumn("__h_salt", F.explode(salts))
+        salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
+        on = _all_equal(salted, heavy_side, keys, "__h_") & (salted["__salt"] == heavy_side["__h_salt"])
+        met = salted.join(heavy_side, on, "left").drop("__salt", "__h_salt")
+    met = met.drop(*[f"__h_{k}" for k in keys])
 
     answered = F.col("__hot").isNotNull()
     idle = answered
     for k in keys:
         idle = idle | F.col(k).isNull()
-    bucket = F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int")
+    bucket = F.xxhash64(*spread_by)
     met = met.select(
         "*",
         *[F.when(~answered, F.col(k)).alias(f"__l_{k}") for k in keys],
-        F.when(idle, bucket).otherwise(F.lit(0)).alias("__l_bucket"),
+        F.when(idle, bucket).otherwise(F.lit(0).cast("long")).alias("__l_bucket"),
     )
     cold_side = answers.dropna(subset=keys).select(
         *[F.col(k).alias(f"__c_{k}") for k in keys],
         # always 0, but not a literal: it has to stay a join key
-        F.pmod(F.hash(*keys), F.lit(1)).alias("__c_bucket"),
+        F.pmod(F.xxhash64(*keys), F.lit(1)).cast("long").alias("__c_bucket"),
         *[F.col(v).alias(f"__c_{v}") for v in values],
     )
     on = F.col("__l_bucket") == F.col("__c_bucket")

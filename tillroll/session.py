@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,12 +41,14 @@ def local_session(app_name: str, cores: str = "8", shuffle_partitions: int = 8)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in `spark.checkpoint.dir`.
 
-    A local temporary folder is used only where the setting is missing, which
-    is the case in single-process runs.
+    Where the setting is missing, a single-process session uses a local temporary folder; any other
+    session is refused, as its executors would not see each other's files.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     fallback = tempfile.mkdtemp(prefix="run-")
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback

@@ -111,14 +111,23 @@ def read_survey(
 ) -> DataFrame:
     """Comma-separated survey; lines with more fields than columns are skipped, short ones are filled with null.
 
-    One spare column catches the surplus of over-long lines.
+    Lines of another length come with their raw text. A mark is put behind it as one more field: it is
+    among the first fields of a line that is too short, and beyond them if the line is too long, be the
+    surplus fields empty or not.
     """
-    spare = "__surplus"
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, spare]])
+    raw, mark = "__raw", "\u0001end"
+    fields = [T.StructField(c, T.StringType()) for c in columns]
+    schema = T.StructType([*fields, T.StructField(raw, T.StringType())])
     lines = spark.read.schema(schema).csv(
-        path, header=header, sep=sep, enforceSchema=True, mode="PERMISSIVE", escape='"'
+        path, header=header, sep=sep, enforceSchema=True, mode="PERMISSIVE", escape='"', columnNameOfCorruptRecord=raw
     )
-    return lines.where(F.col(spare).isNull()).drop(spare)
+    again = F.from_csv(
+        F.concat(F.col(raw), F.lit(sep + mark)),
+        ", ".join(f"`f{i}` string" for i in range(len(columns))),
+        {"sep": sep, "escape": '"', "mode": "PERMISSIVE"},
+    )
+    short = F.array_contains(F.array(*(again[f"f{i}"] for i in range(len(columns)))), mark)
+    return lines.where(F.col(raw).isNull() | short).drop(raw)
 
 
 def variety_code_table(raw: DataFrame, order_col: str = "row_id") -> DataFrame:
