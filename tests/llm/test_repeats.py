@@ -36,7 +36,7 @@ def test_query(spark):
     assert got == {i: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for (i, _), w in zip(rows, want)}
 
 
-@pytest.mark.parametrize("crowd", [1024, 1])
+@pytest.mark.parametrize("crowd", [1 << 15, 1])
 @pytest.mark.parametrize("positions", [1 << 20, 256])
 def test_passages_and_odd_texts(spark, monkeypatch, crowd, positions):
     monkeypatch.setattr(repeats, "CROWD", crowd)
@@ -60,6 +60,16 @@ def test_passages_and_odd_texts(spark, monkeypatch, crowd, positions):
     check([(r[0], r[1]) for r in rows], repeats.remove_repeats(docs).collect(), 200)
 
 
+def test_common_strings_below_the_window_stay(spark):
+    rng = np.random.default_rng(10)
+    common = "".join(rng.choice(list("abcdefgh "), 190))
+    texts = ["".join(rng.choice(list("abcdefgh "), 300)) + common + "".join(rng.choice(list("xyz "), 300)) for _ in range(4)]
+    docs = cases.frame(spark, [(i, t, None, None, None, None, None) for i, t in enumerate(texts)])
+    got = repeats.remove_repeats(docs).collect()
+    assert [r["n_removed"] for r in got] == [0] * 4
+    check(list(enumerate(texts)), got, 200)
+
+
 def test_other_window(spark):
     rng = np.random.default_rng(8)
     texts = ["".join(rng.choice(list("ab"), 90)) + "the quick brown fox jumps over it" for _ in range(20)]

@@ -22,7 +22,7 @@ from tillroll.llm.rowwise import with_text_columns, workers_can_import
 from tillroll.session import stage
 
 WINDOW = 200
-CROWD = 1024  # cells of one core that a task compares by itself; larger groups are dealt out by window name
+CROWD = 1 << 15  # cells of one core (about 8 MB) that a task compares by itself; more are dealt out by window name
 
 # A cell in one long: 18 bits of a second text hash, start of its first window, number of windows less one,
 # and the anchor's distance from the first window.
@@ -116,69 +116,66 @@ def _contexts(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     return x.select("x.core", "x.crowd", "h", "x.cell", context.alias("context"))
 
 
-def _window_names(context: bytes, more: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    blocks = block_names(np.frombuffer(context, np.uint8))
-    at = np.arange(more + 1)
+def _window_names(blocks: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return names_at(blocks, at, window, 0), names_at(blocks, at, window, 1)
 
 
-def _found(h: int, cell: int, hits: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
-    """Runs of repeated windows of a cell as (h, tag, start, end) byte ranges."""
-    first = cell >> 2 * SMALL_BITS & (1 << START_BITS) - 1
-    heads = hits[np.r_[True, np.diff(hits) != 1]]
-    tails = hits[np.r_[np.diff(hits) != 1, True]]
-    tag = cell >> (START_BITS + 2 * SMALL_BITS)
-    return [(h, tag, first + a, first + b + window) for a, b in zip(heads.tolist(), tails.tolist())]
-
-
 RANGES = "h long, tag long, start long, end long"
 
 
-def _compared_in_tasks(contexts: DataFrame, window: int) -> DataFrame:
-    """Repeated windows among the cells of each core, cores of at most CROWD cells."""
+def _compared(cells: pa.Table, window: int) -> pa.RecordBatch:
+    """Runs of repeated windows among the cells of each core in `cells`, as byte ranges of their texts."""
+    core, h, cell = (np.asarray(cells.column(c)) for c in ("core", "h", "cell"))
+    order = np.lexsort((cell, h, core))
+    core, h, cell = core[order], h[order], cell[order]
+    keep = np.r_[True, (np.diff(core) != 0) | (np.diff(h) != 0) | (np.diff(cell) != 0)]  # copies give equal cells
+    core, h, cell = core[keep], h[keep], cell[keep]
+    contexts = cells.column("context").combine_chunks().cast(pa.large_binary()).take(pa.array(order[keep]))
+    _, offsets, data = contexts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[contexts.offset : contexts.offset + len(contexts)]
+    blocks = block_names(np.frombuffer(data, np.uint8))
+    count = (cell >> SMALL_BITS & (1 << SMALL_BITS) - 1) + 1
+    ends = np.cumsum(count)
+    owner = np.repeat(np.arange(len(cell)), count)
+    k = np.arange(ends[-1]) - np.repeat(ends - count, count)
+    a, b = _window_names(blocks, offsets[owner] + k, window)
+    # windows of different cores, or at different distances from their anchors, differ
+    group = np.cumsum(np.r_[True, np.diff(core) != 0])[owner] << SMALL_BITS
+    group += (cell & (1 << SMALL_BITS) - 1)[owner] - k
+    order = np.lexsort((b, a, group))
+    same = (np.diff(group[order]) == 0) & (np.diff(a[order]) == 0) & (np.diff(b[order]) == 0)
+    again = np.zeros(len(a), bool)
+    again[order] = np.r_[same, False] | np.r_[False, same]
+    hits = np.flatnonzero(again)
+    head = np.r_[True, (np.diff(hits) != 1) | (np.diff(owner[hits]) != 0)][: len(hits)]
+    tail = np.r_[head[1:], [True] * min(len(hits), 1)].astype(bool)
+    who = owner[hits[head]]
+    first = cell[who] >> 2 * SMALL_BITS & (1 << START_BITS) - 1
+    columns = (h[who], cell[who] >> (START_BITS + 2 * SMALL_BITS), first + k[hits[head]], first + k[hits[tail]] + window)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "tag", "start", "end"])
+
+
+def _compared_in_tasks(contexts: DataFrame, window: int, at_once: int = 1 << 14) -> DataFrame:
+    """Repeated windows among the cells of each core, cores of at most CROWD cells.
+
+    Cells come sorted by core and are compared in blocks of whole cores.
+    """
     rows = contexts.repartition("core").sortWithinPartitions("core")
-    schema = pa.schema([(c, pa.int64()) for c in ("h", "tag", "start", "end")])
-
-    def close(cells: dict[tuple[int, int], bytes]) -> list[tuple[int, int, int, int]]:
-        if len(cells) < 2:
-            return []
-        a, b, t, owner = [], [], [], []
-        keys = list(cells)
-        for i, (h, cell) in enumerate(keys):
-            more = cell >> SMALL_BITS & (1 << SMALL_BITS) - 1
-            distance = cell & (1 << SMALL_BITS) - 1
-            x, y = _window_names(cells[h, cell], more, window)
-            a.append(x)
-            b.append(y)
-            t.append(distance - np.arange(more + 1))
-            owner.append(np.full(more + 1, i))
-        a, b, t, owner = (np.concatenate(c) for c in (a, b, t, owner))
-        order = np.lexsort((b, a, t))
-        same = (np.diff(t[order]) == 0) & (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-        again = np.zeros(len(a), bool)
-        again[order] = np.r_[same, False] | np.r_[False, same]
-        begin = np.flatnonzero(np.r_[True, np.diff(owner) != 0, True])
-        out = []
-        for i, (low, high) in enumerate(zip(begin, begin[1:])):
-            hits = np.flatnonzero(again[low:high])
-            if len(hits):
-                out += _found(*keys[i], hits, window)
-        return out
 
     def run(batches):
-        core, cells = None, {}
+        held = None
         for batch in batches:
-            out = []
-            for c, h, cell, context in zip(*(batch.column(k).to_pylist() for k in ("core", "h", "cell", "context"))):
-                if c != core:
-                    out += close(cells)
-                    core, cells = c, {}
-                cells[h, cell] = context
-            if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema=schema)
-        out = close(cells)
-        if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema=schema)
+            batch = pa.Table.from_batches([batch])
+            held = batch if held is None else pa.concat_tables([held, batch])
+            if held.num_rows < at_once:
+                continue
+            core = np.asarray(held.column("core"))
+            cut = int(np.argmax(core == core[-1]))
+            if cut:
+                yield _compared(held.slice(0, cut), window)
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield _compared(held, window)
 
     return rows.mapInArrow(run, RANGES)
 
@@ -191,7 +188,8 @@ def _compared_by_name(contexts: DataFrame, window: int) -> DataFrame:
             columns = [[] for _ in range(5)]
             for h, cell, context in zip(*(batch.column(k).to_pylist() for k in ("h", "cell", "context"))):
                 more = cell >> SMALL_BITS & (1 << SMALL_BITS) - 1
-                a, b = _window_names(context, more, window)
+                blocks = block_names(np.frombuffer(context, np.uint8))
+                a, b = _window_names(blocks, np.arange(more + 1), window)
                 for column, values in zip(columns, (a.view(np.int64), b.view(np.int64), np.full(more + 1, h),
                                                     np.full(more + 1, cell), np.arange(more + 1))):
                     column.append(values)
