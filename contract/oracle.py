@@ -640,7 +640,7 @@ add(
       round(avg(w.f1), 6) AS flat_f1, round(avg(s.precision), 6) AS hier_precision, round(avg(s.recall), 6) AS hier_recall,
       round(avg(s.f1), 6) AS hier_f1 FROM weighted w JOIN shared s USING (split)""",
     f"""parted AS MATERIALIZED (SELECT split, true_coicop, label, {held_out('row_id', 'CAST(split AS VARCHAR)')} AS test
-      FROM predictions CROSS JOIN (VALUES (42), (43), (44)) AS v(split))""",
+      FROM predictions CROSS JOIN (VALUES (42), (43), (44), (45), (46)) AS v(split))""",
     "train AS (SELECT split, true_coicop AS code, label AS text FROM parted WHERE NOT test)",
     "items AS (SELECT DISTINCT split, '' AS parent, label AS text FROM parted WHERE test)",
     model(FLAT_EDGES, "split,"),

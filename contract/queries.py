@@ -529,7 +529,7 @@ def backoff_prediction(spark, sf):
 @query
 def repeated_holdout(spark, sf):
     rows = view(spark, sf, "predictions")
-    return classify.repeated_holdout(rows, "true_coicop", "label", "row_id", n=3)
+    return classify.repeated_holdout(rows, "true_coicop", "label", "row_id")
 
 
 @query
