@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillroll.operators import classify, split
-from tillroll.operators.tune import best_setting, grid_search, linear_classifier, settings
+from tillroll.operators.tune import RESULT, best_setting, grid_search, linear_classifier, settings
 
 CODES = ["01.1.1.1.1", "01.1.1.1.2", "01.2.1.1.1", "02.1.1.1.1", "02.1.1.2.1"]
 WORDS = ["PAIN", "LAIT", "EAU", "RIZ", "SEL", "VIN", "THE"]
@@ -141,3 +141,10 @@ def test_grid_search_leaves_out_what_fails(spark):
     assert results.count() == 2
     best = best_setting(results).first()
     assert best.f1 == max(r.f1 for r in results.collect())
+
+
+def test_best_setting_decides_ties_by_the_choices(spark):
+    rows = [(1.0, 1, 2, 1.0, "linear", None, 0.5), (1.0, 1, 1, 1.0, "linear", None, 0.5), (0.5, 1, 1, 1.0, "linear", None, 0.4)]
+    results = spark.createDataFrame(rows, RESULT)
+    assert tuple(best_setting(results).first()) == rows[1]
+    assert best_setting(results.where("false")).count() == 0

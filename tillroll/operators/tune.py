@@ -180,5 +180,6 @@ def grid_search(
 
 
 def best_setting(results: DataFrame) -> DataFrame:
-    """The setting with the highest score."""
-    return results.agg(F.max_by(F.struct(*results.columns), "f1").alias("best")).select("best.*")
+    """The setting with the highest score; of equals the one whose choices sort first."""
+    choices = [c for c in results.columns if c != "f1"]
+    return results.orderBy(F.desc_nulls_last("f1"), *choices).limit(1)
