@@ -73,3 +73,11 @@ def test_columns_stay_in_a_filter(spark):
 @pytest.mark.parametrize("fn", [quality.judge, quality.keep_good])
 def test_empty_table(spark, fn):
     assert fn(cases.empty(spark)).count() == 0
+
+
+def test_fences_too_large_to_broadcast(spark, no_broadcast):
+    rows = [(i, " ".join(f"word{i}x{j}" for j in range(80)), "en", "s", None, None, None) for i in range(150)]
+    rows += [(1000 + i, " ".join(f"word{i}x{j}" for j in range(80)), None, f"t{i}", None, None, None) for i in range(9)]
+    rows.append((999, " ".join(f"word{j} ###" for j in range(80)), "en", "s", None, None, None))
+    kept = sorted(r["doc_id"] for r in quality.keep_good(cases.frame(spark, rows)).collect())
+    assert kept == [r[0] for r in rows if r[0] != 999]

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.plans.skew import join_lookup
 from tillroll.session import stage
 
 # Word, line and symbol patterns, and the base rule.
@@ -178,7 +179,9 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
 
     kept is false where the base rule fails or a measure lies beyond its fence. Null languages and
     sources form groups of their own; repeated rows are judged each; of other columns only `carry` stays.
-    The measured table is written once to the shared folder: sketches and verdicts read it back.
+    The measured table is written once to the shared folder: sketches and verdicts read it back. So are the
+    fences, one row per language and source: they are broadcast if they are small, else joined with heavy
+    keys set apart, and the measured rows do not gather by language and source.
     """
     keys = docs.select(
         *(F.col(c).alias(f"__carry_{i}") for i, c in enumerate(carry)),
@@ -188,14 +191,15 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     )
     measured = measure(keys, "__text").drop("__text").withColumn("__m", _measures())
     measured = stage(measured, "quality")
-    fences = thresholds(sketches(measured))
+    fences = stage(thresholds(sketches(measured)), "fences")
     inside = F.lit(True)
     for name, _, below in MEASURES:
         inside = inside & (F.col("__m")[name] <= F.col("__fence")[f"{name}_most"])
         if below is not None:
             inside = inside & (F.col("__m")[name] >= F.col("__fence")[f"{name}_least"])
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return measured.join(fences, ["__lang", "__source"], "left").select(
+    spread_by = ["__carry_0", "n_words", "word_chars"]
+    return join_lookup(measured, fences, ["__lang", "__source"], spread_by).select(
         *(F.col(f"__carry_{i}").alias(c) for i, c in enumerate(carry)),
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"),
     )
