@@ -473,12 +473,12 @@ LEVEL_EDGES = " UNION ALL ".join(
 )
 
 
-def model(edges: str, by: str = "") -> str:
+def model(edges: str, by: str = "", cut: str = WORDS) -> str:
     """Tables of a model over train(by, code, text); `by` ends in a comma when given."""
     return f"""edge AS MATERIALIZED ({edges.format(by=by)}),
   children AS MATERIALIZED (SELECT {by} parent, child, count(*) AS n_c FROM edge GROUP BY ALL),
   parents AS (SELECT {by} parent, sum(n_c) AS n_p FROM children GROUP BY ALL),
-  seen AS (SELECT {by} parent, child, unnest({WORDS.format('text')}) AS t FROM edge),
+  seen AS (SELECT {by} parent, child, unnest({cut.format('text')}) AS t FROM edge),
   counts AS MATERIALIZED (SELECT {by} parent, child, t, count(*) AS n FROM seen GROUP BY ALL),
   totals AS (SELECT {by} parent, child, sum(n) AS total FROM counts GROUP BY ALL),
   vocab AS MATERIALIZED (SELECT DISTINCT {by} parent, t FROM counts),
@@ -488,9 +488,9 @@ def model(edges: str, by: str = "") -> str:
       LEFT JOIN sizes USING ({by} parent))"""
 
 
-def predictions(items: str, by: str = "", out: str = "pred") -> str:
+def predictions(items: str, by: str = "", out: str = "pred", cut: str = WORDS) -> str:
     """`out`(by, text, parent, child, confidence, margin) for the distinct rows of `items`."""
-    return f"""{out}_words AS (SELECT {by} parent, text, unnest({WORDS.format('text')}) AS t FROM {items}),
+    return f"""{out}_words AS (SELECT {by} parent, text, unnest({cut.format('text')}) AS t FROM {items}),
   {out}_known AS (SELECT {by} parent, text, t, count(*) AS tf FROM {out}_words JOIN vocab USING ({by} parent, t) GROUP BY ALL),
   {out}_sums AS (SELECT {by} parent, text, child, sum(tf * ln((coalesce(n, 0) + 1) / base)) AS s
     FROM {out}_known JOIN node USING ({by} parent) LEFT JOIN counts USING ({by} parent, child, t) GROUP BY ALL),
@@ -521,6 +521,34 @@ add(
     FROM parted JOIN pred ON text = label WHERE test""",
     *FLAT,
 )
+
+def ngrams_of(column: str) -> str:
+    """Runs of one to three words and, after #, three to six characters of <word>."""
+    ws = WORDS.format(column)
+    runs = [
+        f"list_transform(range(1, len({ws}) - {n - 2}), lambda i: array_to_string(list_slice({ws}, i, i + {n - 1}), ' '))"
+        for n in (1, 2, 3)
+    ]
+    chars = [
+        f"""flatten(list_transform({ws}, lambda w: list_transform(range(1, length(w) + {4 - k}),
+          lambda j: '#' || substr('<' || w || '>', j, {k}))))"""
+        for k in (3, 4, 5, 6)
+    ]
+    return f"flatten([{', '.join(runs + chars)}])"
+
+
+NGRAMS = ngrams_of("{0}")
+add(
+    "flat_classifier_ngrams",
+    "predictions",
+    """SELECT row_id, label, ca, true_coicop, child AS FLAT_PRED, confidence AS CONFIDENCE
+    FROM parted JOIN pred ON text = label WHERE test""",
+    PARTED,
+    TRAIN,
+    TEST,
+    model(FLAT_EDGES, cut=NGRAMS),
+    predictions("items", cut=NGRAMS),
+)
 add(
     "predict_distinct",
     ("predictions", "nomen"),
@@ -565,11 +593,26 @@ add(
     """SELECT sum(n)::BIGINT AS models FROM (SELECT count(DISTINCT left(true_coicop, k)) AS n
       FROM predictions CROSS JOIN (VALUES (2), (4), (6), (8)) AS v(k) GROUP BY k) t""",
 )
-ROUTE, reached = [], "items"
-for step in range(5):
-    ROUTE.append(predictions(reached, out=f"l{step}"))
-    reached = f"at{step}"
-    ROUTE.append(f"at{step} AS MATERIALIZED (SELECT text, child AS parent FROM l{step})")
+
+
+def route(by: str = "") -> list[str]:
+    """Tables at0 to at4: the node each text has reached after a level."""
+    steps, reached = [], "items"
+    for step in range(5):
+        steps.append(predictions(reached, by, f"l{step}"))
+        reached = f"at{step}"
+        steps.append(f"at{step} AS MATERIALIZED (SELECT {by} text, child AS parent FROM l{step})")
+    return steps
+
+
+def way(kind: str, by: str) -> list[str]:
+    """Model and table pred(by, text, child) of the flat or the top-down classifier."""
+    if kind == "flat":
+        return [model(FLAT_EDGES, by), predictions("items", by)]
+    return [model(TREE_EDGES, by), *route(by), f"pred AS (SELECT {by} text, parent AS child FROM at4)"]
+
+
+ROUTE = route()
 add(
     "lcpn_classifier",
     "predictions",
@@ -633,25 +676,27 @@ def scores(by: str, pairs: str = "pairs") -> str:
     round(sum({common} * n) / sum(5 * n), 6) AS f1 FROM {pairs} GROUP BY ALL)"""
 
 
-add(
-    "repeated_holdout",
-    "predictions",
-    """SELECT count(*) AS splits, round(avg(w.precision), 6) AS flat_precision, round(avg(w.recall), 6) AS flat_recall,
-      round(avg(w.f1), 6) AS flat_f1, round(avg(s.precision), 6) AS hier_precision, round(avg(s.recall), 6) AS hier_recall,
-      round(avg(s.f1), 6) AS hier_f1 FROM weighted w JOIN shared s USING (split)""",
-    f"""parted AS MATERIALIZED (SELECT split, true_coicop, label, {held_out('row_id', 'CAST(split AS VARCHAR)')} AS test
-      FROM predictions CROSS JOIN (VALUES (42), (43), (44), (45), (46)) AS v(split))""",
-    "train AS (SELECT split, true_coicop AS code, label AS text FROM parted WHERE NOT test)",
-    "items AS (SELECT DISTINCT split, '' AS parent, label AS text FROM parted WHERE test)",
-    model(FLAT_EDGES, "split,"),
-    predictions("items", "split,"),
-    """pairs AS (SELECT p.split, true_coicop AS t, child AS p, count(*) AS n
-      FROM parted p JOIN pred ON pred.split = p.split AND text = label WHERE test GROUP BY ALL)""",
-    scores("split,"),
-)
-for name, fold in (
-    ("kfold_scores", unit_hash("row_id", "'42'") + " % 5 + 1"),
-    ("kfold_scores_contiguous", "ntile(5) OVER (ORDER BY row_id)"),
+for name, kind in (("repeated_holdout", "flat"), ("repeated_holdout_lcpn", "lcpn")):
+    add(
+        name,
+        "predictions",
+        """SELECT count(*) AS splits, round(avg(w.precision), 6) AS flat_precision, round(avg(w.recall), 6) AS flat_recall,
+          round(avg(w.f1), 6) AS flat_f1, round(avg(s.precision), 6) AS hier_precision, round(avg(s.recall), 6) AS hier_recall,
+          round(avg(s.f1), 6) AS hier_f1 FROM weighted w JOIN shared s USING (split)""",
+        f"""parted AS MATERIALIZED (SELECT split, true_coicop, label, {held_out('row_id', 'CAST(split AS VARCHAR)')} AS test
+          FROM predictions CROSS JOIN (VALUES (42), (43), (44), (45), (46)) AS v(split))""",
+        "train AS (SELECT split, true_coicop AS code, label AS text FROM parted WHERE NOT test)",
+        "items AS (SELECT DISTINCT split, '' AS parent, label AS text FROM parted WHERE test)",
+        *way(kind, "split,"),
+        """pairs AS (SELECT p.split, true_coicop AS t, child AS p, count(*) AS n
+          FROM parted p JOIN pred ON pred.split = p.split AND text = label WHERE test GROUP BY ALL)""",
+        scores("split,"),
+    )
+BY_HASH = unit_hash("row_id", "'42'") + " % 5 + 1"
+for name, kind, fold in (
+    ("kfold_scores", "flat", BY_HASH),
+    ("kfold_scores_lcpn", "lcpn", BY_HASH),
+    ("kfold_scores_contiguous", "flat", "ntile(5) OVER (ORDER BY row_id)"),
 ):
     add(
         name,
@@ -661,8 +706,7 @@ for name, fold in (
         """train AS (SELECT f.fold, true_coicop AS code, label AS text
           FROM held h JOIN (SELECT DISTINCT fold FROM held) f ON f.fold <> h.fold)""",
         "items AS (SELECT DISTINCT fold, '' AS parent, label AS text FROM held)",
-        model(FLAT_EDGES, "fold,"),
-        predictions("items", "fold,"),
+        *way(kind, "fold,"),
         """pairs AS (SELECT h.fold, true_coicop AS t, child AS p, count(*) AS n
           FROM held h JOIN pred ON pred.fold = h.fold AND text = label GROUP BY ALL)""",
         scores("fold,"),

@@ -473,6 +473,14 @@ def flat_classifier_unseen_labels(spark, sf):
     return classify.flat_classifier(train, test, "code", "label", "row_id")
 
 
+@query
+def flat_classifier_ngrams(spark, sf):
+    """Runs of up to three words, and three to six characters of a word, as features."""
+    return classify.flat_classifier(
+        *_split(spark, sf), "true_coicop", "label", "row_id", features.words_and_char_ngrams
+    )
+
+
 @query
 def flat_classifier_documents(spark, sf):
     """Language of a text from its words, whole texts."""
@@ -532,6 +540,17 @@ def repeated_holdout(spark, sf):
     return classify.repeated_holdout(rows, "true_coicop", "label", "row_id")
 
 
+@query
+def repeated_holdout_lcpn(spark, sf):
+    rows = view(spark, sf, "predictions")
+    return classify.repeated_holdout(rows, "true_coicop", "label", "row_id", model="lcpn")
+
+
+@query
+def kfold_scores_lcpn(spark, sf):
+    return classify.kfold_scores(view(spark, sf, "predictions"), "true_coicop", "label", 5, "row_id", model="lcpn")
+
+
 @query
 def kfold_scores(spark, sf):
     return classify.kfold_scores(view(spark, sf, "predictions"), "true_coicop", "label", 5, "row_id")

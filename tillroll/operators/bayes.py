@@ -21,6 +21,8 @@ from tillroll.session import stage
 
 # code -> array of struct(parent, child)
 Edges = Callable[[Column], Column]
+# text -> array of its words or other features
+Cut = Callable[[Column], Column]
 
 
 @dataclass(frozen=True)
@@ -28,12 +30,13 @@ class Model:
     """`nodes`: (*by, parent, children, rows); `tokens`: (*by, parent, token, hits, n).
 
     Both arrays have at most one element per child of the node (plus one in
-    `hits`), so their size is set by the code list, not by the data.
+    `hits`), so their size is set by the code list, not by the data. `cut` makes the tokens of a text.
     """
 
     nodes: DataFrame
     tokens: DataFrame
     by: tuple[str, ...] = ()
+    cut: Cut = words
 
 
 def count_docs(df: DataFrame, code: str, text: str, by: Sequence[str] = ()) -> DataFrame:
@@ -46,7 +49,7 @@ def count_docs(df: DataFrame, code: str, text: str, by: Sequence[str] = ()) -> D
     return stage(docs, "docs")
 
 
-def fit(docs: DataFrame, edges: Edges, by: Sequence[str] = ()) -> Model:
+def fit(docs: DataFrame, edges: Edges, by: Sequence[str] = (), cut: Cut = words) -> Model:
     """Train all nodes; the model is two written tables."""
     by = list(by)
     rows = (
@@ -58,7 +61,7 @@ def fit(docs: DataFrame, edges: Edges, by: Sequence[str] = ()) -> Model:
     )
     # The levels are unfolded only after the words of a code are summed up.
     counts = (
-        docs.select(*by, "code", F.explode(words(F.col("text"))).alias("token"), "n")
+        docs.select(*by, "code", F.explode(cut(F.col("text"))).alias("token"), "n")
         .groupBy(*by, "code", "token")
         .agg(F.sum("n").alias("n"))
         .select(*by, F.inline(edges(F.col("code"))), "token", "n")
@@ -90,7 +93,7 @@ def fit(docs: DataFrame, edges: Edges, by: Sequence[str] = ()) -> Model:
         ).alias("children"),
         "rows",
     )
-    return Model(stage(nodes, "nodes"), stage(tokens, "tokens"), tuple(by))
+    return Model(stage(nodes, "nodes"), stage(tokens, "tokens"), tuple(by), cut)
 
 
 def text_id(text: Column) -> Column:
@@ -98,25 +101,30 @@ def text_id(text: Column) -> Column:
     return F.md5(text)
 
 
-def word_rows(items: DataFrame, text: str = "text") -> DataFrame:
-    """`items` without the text, one row per word as `token`; a text without words keeps one row."""
+def word_rows(items: DataFrame, cut: Cut = words, text: str = "text") -> DataFrame:
+    """`items` without the text, one row per distinct word as `token` with the `times` it occurs.
+
+    A text without words keeps one row, without token.
+    """
     rest = [c for c in items.columns if c != text]
-    return items.select(*rest, F.explode_outer(words(F.col(text))).alias("token"))
+    rows = items.select(*rest, F.explode_outer(cut(F.col(text))).alias("token"))
+    return rows.groupBy(*rest, "token").agg(F.count(F.lit(1)).alias("times"))
 
 
 def predict(tokens: DataFrame, model: Model) -> DataFrame:
     """One row per item with pred, score, confidence and margin.
 
-    `tokens` has one row per word of an item: `id`, `parent`, `token`, the
+    `tokens` has one row per distinct word of an item: `id`, `parent`, `token`, `times`, the
     model's keys and whatever else is to be carried. The words meet the model
     by (parent, token), are summed per child and ranked inside one row per
     item. A parent without a node gives null.
     """
     by = list(model.by)
-    carried = [c for c in tokens.columns if c != "token"]
+    carried = [c for c in tokens.columns if c not in ("token", "times")]
     met = join_staged(tokens, model.tokens, [*by, "parent", "token"], ["id", "token"], "n")
-    pieces = met.select(*carried, F.explode_outer("hits").alias("h"))
-    sums = pieces.groupBy(*carried, F.col("h.child").alias("child")).agg(F.sum("h.weight").alias("weight"))
+    pieces = met.select(*carried, "times", F.explode_outer("hits").alias("h"))
+    weight = F.sum(F.col("times") * F.col("h.weight")).alias("weight")
+    sums = pieces.groupBy(*carried, F.col("h.child").alias("child")).agg(weight)
     entry = F.when(F.col("child").isNotNull(), F.struct("child", "weight"))
     summed = sums.groupBy(*carried).agg(
         F.map_from_entries(F.collect_list(entry)).alias("__found"),

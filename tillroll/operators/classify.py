@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.codes import CODE_LENGTH, LEVELS, prefixes
-from tillroll.functions.text import let
-from tillroll.operators.bayes import Model, count_docs, fit, predict, text_id, word_rows
+from tillroll.functions.text import let, words
+from tillroll.operators.bayes import Cut, Model, count_docs, fit, predict, text_id, word_rows
 from tillroll.operators.evaluate import hierarchical_scores, weighted_scores
 from tillroll.operators.lookup import descriptions
 from tillroll.operators.split import is_test, with_fold
@@ -53,8 +53,8 @@ def distinct_labels(df: DataFrame, label: str, by: list[str] | None = None) -> D
     return labels.agg(F.count(F.lit(1)).alias("n")).withColumn("id", text_id(F.col("text")))
 
 
-def at_root(items: DataFrame) -> DataFrame:
-    return word_rows(items.withColumn("parent", F.lit(ROOT)))
+def at_root(items: DataFrame, cut: Cut = words) -> DataFrame:
+    return word_rows(items, cut).withColumn("parent", F.lit(ROOT))
 
 
 def copy_to_rows(df: DataFrame, answers: DataFrame, label: str, order_col: str) -> DataFrame:
@@ -64,8 +64,8 @@ def copy_to_rows(df: DataFrame, answers: DataFrame, label: str, order_col: str)
     return joined.drop("__id")
 
 
-def fit_flat(train: DataFrame, code: str, label: str) -> Model:
-    return fit(count_docs(train, code, label), flat_edges)
+def fit_flat(train: DataFrame, code: str, label: str, cut: Cut = words) -> Model:
+    return fit(count_docs(train, code, label), flat_edges, cut=cut)
 
 
 def predict_distinct(
@@ -81,17 +81,17 @@ def predict_distinct(
 
     Rows without a description are dropped.
     """
-    answers = predict(at_root(distinct_labels(df, label)), model).select("id", "n", F.col("pred").alias(out))
+    answers = predict(at_root(distinct_labels(df, label), model.cut), model).select("id", "n", F.col("pred").alias(out))
     table = descriptions(nomenclature, "poste").toDF(out, out_description)
     described = join_lookup(answers, table, [out], ["id"])
     return copy_to_rows(df, described, label, order_col)
 
 
 def flat_classifier(
-    train: DataFrame, test: DataFrame, code: str, label: str, order_col: str = "ROW_ID"
+    train: DataFrame, test: DataFrame, code: str, label: str, order_col: str = "ROW_ID", cut: Cut = words
 ) -> DataFrame:
-    """Test rows with FLAT_PRED and CONFIDENCE."""
-    answers = predict(at_root(distinct_labels(test, label)), fit_flat(train, code, label)).select(
+    """Test rows with FLAT_PRED and CONFIDENCE, from the features that `cut` makes of a label."""
+    answers = predict(at_root(distinct_labels(test, label), cut), fit_flat(train, code, label, cut)).select(
         "id", "n", F.col("pred").alias("FLAT_PRED"), F.col("confidence").alias("CONFIDENCE")
     )
     return copy_to_rows(test, answers, label, order_col)
@@ -117,24 +117,33 @@ def lcpn_model_count(df: DataFrame, code: str) -> DataFrame:
     return parents.where(F.col("parent") != ROOT).agg(F.countDistinct("parent").alias("models"))
 
 
+def descend(tokens: DataFrame, model: Model) -> DataFrame:
+    """(*by, id, pred): at each level an item goes to the child its node predicts, until a node is missing.
+
+    `tokens` are word rows without parent; they are read once per level.
+    """
+    keys = [*model.by, "id"]
+    reached = tokens.withColumn("parent", F.lit(ROOT))
+    for step in range(len(LEVELS)):
+        paths = predict(reached, model).select(*keys, F.coalesce("pred", "parent").alias("parent"))
+        if step < len(LEVELS) - 1:
+            reached = tokens.join(paths, keys)
+    return paths.withColumnRenamed("parent", "pred")
+
+
 def lcpn_classifier(
-    train: DataFrame, test: DataFrame, code: str, label: str, order_col: str = "ROW_ID"
+    train: DataFrame, test: DataFrame, code: str, label: str, order_col: str = "ROW_ID", cut: Cut = words
 ) -> DataFrame:
     """Top-down prediction, one row per distinct description: its first test row with LCPN_PRED.
 
     At each level a description goes to the child its node predicts. Paths that
     stop before the finest level are dropped.
     """
-    model = fit(count_docs(train, code, label), tree_edges)
-    tokens = stage(word_rows(distinct_labels(test, label).drop("n")), "words")
-    reached = tokens.withColumn("parent", F.lit(ROOT))
-    for step in range(len(LEVELS)):
-        paths = predict(reached, model).select("id", F.coalesce("pred", "parent").alias("parent"))
-        if step < len(LEVELS) - 1:
-            reached = tokens.join(paths, "id")
-    complete = paths.where(F.length("parent") == CODE_LENGTH)
+    model = fit(count_docs(train, code, label), tree_edges, cut=cut)
+    tokens = stage(word_rows(distinct_labels(test, label).drop("n"), cut), "words")
+    complete = descend(tokens, model).where(F.length("pred") == CODE_LENGTH)
     first = test.groupBy(text_id(F.col(label)).alias("id")).agg(F.min_by(F.struct("*"), order_col).alias("__row"))
-    return complete.join(first, "id").select("__row.*", F.col("parent").alias("LCPN_PRED"))
+    return complete.join(first, "id").select("__row.*", F.col("pred").alias("LCPN_PRED"))
 
 
 def backoff_prediction(threshold: float) -> Column:
@@ -157,7 +166,7 @@ def lcpl_classifier(
     model = fit(count_docs(train, code, label), level_edges)
     items = distinct_labels(test, label)
     levels = F.explode(F.array(*[F.lit(n) for n in LEVELS])).alias("parent")
-    scored = predict(word_rows(items.select("id", "text", "n", levels)), model)
+    scored = predict(word_rows(items).select("*", levels), model)
     columns = []
     for name in LEVELS:
         here = F.col("parent") == name
@@ -167,14 +176,20 @@ def lcpl_classifier(
     return copy_to_rows(test, wide, label, order_col)
 
 
-def _scored_pairs(train_docs: DataFrame, test_docs: DataFrame, by: str) -> DataFrame:
-    """(by, true, pred, n) of the flat classifier, one model per value of `by`, all in one job.
+def _scored_pairs(train_docs: DataFrame, test_docs: DataFrame, by: str, kind: str, cut: Cut) -> DataFrame:
+    """(by, true, pred, n) of the flat or the top-down classifier, one model per value of `by`, all in one job.
 
     The test side is counted per (by, code, text), so predictions never go back to single rows.
     """
-    model = fit(train_docs, flat_edges, [by])
     named = test_docs.withColumn("id", text_id(F.col("text")))
-    predicted = predict(at_root(named.select(by, "id", "text").distinct()), model).select(by, "id", "pred")
+    tokens = word_rows(named.select(by, "id", "text").distinct(), cut)
+    if kind == "flat":
+        model = fit(train_docs, flat_edges, [by], cut)
+        predicted = predict(tokens.withColumn("parent", F.lit(ROOT)), model).select(by, "id", "pred")
+    elif kind == "lcpn":
+        predicted = descend(stage(tokens, "words"), fit(train_docs, tree_edges, [by], cut))
+    else:
+        raise ValueError(f"no model of kind {kind}")
     return (
         named.join(predicted, [by, "id"])
         .groupBy(by, F.col("code").alias("true"), "pred")
@@ -183,9 +198,10 @@ def _scored_pairs(train_docs: DataFrame, test_docs: DataFrame, by: str) -> DataF
 
 
 def repeated_holdout(
-    df: DataFrame, code: str, label: str, key: str = "ROW_ID", n: int = 5, test: float = 0.2, seed: int = 42
-) -> DataFrame:
-    """Means over `n` random splits of flat and hierarchical precision, recall and F1.
+    df: DataFrame, code: str, label: str, key: str = "ROW_ID", n: int = 5, test: float = 0.2, seed: int = 42,
+    model: str = "flat", cut: Cut = words,
+) -> DataFrame:
+    """Means over `n` random splits of flat and hierarchical precision, recall and F1 of a model, "flat" or "lcpn".
 
     Split i uses seed + i. Every row is sent to its side of all splits at once.
     """
@@ -194,7 +210,7 @@ def repeated_holdout(
     dealt = dealt.withColumn("__test", is_test(F.col(key), F.col("split"), test))
     docs = count_docs(dealt, code, label, ["split", "__test"])
     pairs = _scored_pairs(
-        docs.where(~F.col("__test")).drop("__test"), docs.where(F.col("__test")).drop("__test"), "split"
+        docs.where(~F.col("__test")).drop("__test"), docs.where(F.col("__test")).drop("__test"), "split", model, cut
     )
     pairs = stage(pairs, "pairs")
     names = ("precision", "recall", "f1")
@@ -226,8 +242,9 @@ def kfold_docs(
 
 
 def kfold_scores(
-    df: DataFrame, code: str, label: str, k: int = 5, key: str = "ROW_ID", method: str = "hash"
-) -> DataFrame:
-    """(fold, precision, recall, f1, support) of the flat classifier on each fold."""
+    df: DataFrame, code: str, label: str, k: int = 5, key: str = "ROW_ID", method: str = "hash",
+    model: str = "flat", cut: Cut = words,
+) -> DataFrame:
+    """(fold, precision, recall, f1, support) of a model, "flat" or "lcpn", on each fold."""
     train, held = kfold_docs(df, code, label, k, key, method)
-    return weighted_scores(_scored_pairs(train, held, "fold"), ["fold"])
+    return weighted_scores(_scored_pairs(train, held, "fold", model, cut), ["fold"])

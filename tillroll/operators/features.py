@@ -34,6 +34,20 @@ def char_ngrams(word: Column, low: int, high: int) -> Column:
     return F.concat(*[runs(n) for n in range(low, high + 1)])
 
 
+def words_and_ngrams(label: Column, word_n: int = 3) -> Column:
+    """Words and runs of up to `word_n` words."""
+    return word_ngrams(words(label), 1, word_n)
+
+
+def words_and_char_ngrams(label: Column, word_n: int = 3, low: int = 3, high: int = 6) -> Column:
+    """Words, runs of up to `word_n` words, and after "#" the substrings of each word between "<" and ">"."""
+
+    def pieces(w: Column) -> Column:
+        return F.transform(char_ngrams(F.concat(F.lit("<"), w, F.lit(">")), low, high), lambda g: F.concat(F.lit("#"), g))
+
+    return let(words(label), lambda ws: F.concat(word_ngrams(ws, 1, word_n), F.flatten(F.transform(ws, pieces))))
+
+
 def bucket_of(ngram: Column, buckets: int) -> Column:
     """Feature number of an n-gram: its md5 folded to `buckets`."""
     return F.pmod(F.conv(F.substring(F.md5(ngram), 1, 8), 16, 10).cast("long"), F.lit(buckets))
