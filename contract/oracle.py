@@ -834,10 +834,7 @@ add(
       ID_FAMILLE AS id_famille, CA AS ca FROM repaired r JOIN forms f ON f.row_id = r.row_id WHERE length(form) >= 3)""",
     *ALL_STEPS,
 )
-add(
-    "predict_and_report",
-    ("predictions", "nomen"),
-    "SELECT * FROM accuracy",
+ROUTED = (
     PARTED,
     TRAIN,
     TEST,
@@ -847,5 +844,15 @@ add(
       FROM parted JOIN at4 ON text = label WHERE test AND length(parent) = 10 GROUP BY label)""",
     LEVELS.replace("ca, ", "").replace("FROM predictions", "FROM routed"),
     NAMED,
-    ACCURACY,
+)
+add("predict_and_report", ("predictions", "nomen"), "SELECT * FROM accuracy", *ROUTED, ACCURACY)
+add("report_flows", ("predictions", "nomen"), "SELECT * FROM sankey", *ROUTED, SANKEY)
+add(
+    "report_scores",
+    ("predictions", "nomen"),
+    """SELECT 'flat' AS kind, precision, recall, f1 FROM weighted
+    UNION ALL SELECT 'hierarchical', precision, recall, f1 FROM shared""",
+    *ROUTED,
+    PAIRS.replace("FROM predictions", "FROM routed"),
+    scores(""),
 )

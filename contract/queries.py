@@ -679,3 +679,15 @@ def clean_and_label(spark, sf):
 def predict_and_report(spark, sf):
     rows = view(spark, sf, "predictions").select("row_id", "label", "true_coicop")
     return flow.predict_and_report(rows, view(spark, sf, "nomen"), "true_coicop", "label", "row_id")
+
+
+@query
+def report_scores(spark, sf):
+    rows = view(spark, sf, "predictions").select("row_id", "label", "true_coicop")
+    return flow.full_report(rows, view(spark, sf, "nomen"), "true_coicop", "label", "row_id").scores
+
+
+@query
+def report_flows(spark, sf):
+    rows = view(spark, sf, "predictions").select("row_id", "label", "true_coicop")
+    return flow.full_report(rows, view(spark, sf, "nomen"), "true_coicop", "label", "row_id").flows

@@ -5,8 +5,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tillroll.operators import classify, split
+from tillroll import session
+from tillroll.operators import classify, features, split
 from tillroll.operators.tune import RESULT, best_setting, grid_search, linear_classifier, settings
+from tillroll.plans.flow import write_full_report
 
 CODES = ["01.1.1.1.1", "01.1.1.1.2", "01.2.1.1.1", "02.1.1.1.1", "02.1.1.2.1"]
 WORDS = ["PAIN", "LAIT", "EAU", "RIZ", "SEL", "VIN", "THE"]
@@ -134,17 +136,56 @@ def test_linear_classifier(spark):
         assert (out[0].CONFIDENCE is not None) == (kernel == "logistic")
 
 
-def test_grid_search_leaves_out_what_fails(spark):
+def test_grid_search_lists_what_fails_last(spark):
     choices = settings([1.0], [(1, 1), (1, 2)], [10.0], ["logistic", "rbf"], [0.1])
     results = grid_search(frame(spark, learnable(90)), choices, "code", "label", k=2, max_iter=10)
-    assert {r.kernel for r in results.collect()} == {"logistic"}
-    assert results.count() == 2
-    best = best_setting(results).first()
-    assert best.f1 == max(r.f1 for r in results.collect())
+    rows = results.collect()
+    assert [r.kernel for r in rows] == ["logistic", "logistic", "rbf", "rbf"]
+    assert all((r.f1 is None) == (r.kernel == "rbf") == (r.reason is not None) for r in rows)
+    assert best_setting(results).first().f1 == max(r.f1 for r in rows if r.f1 is not None)
+
+
+def test_grid_search_lists_what_spark_rejects(spark):
+    one_code = spark.createDataFrame([(i, f"PAIN {i}", CODES[0]) for i in range(20)], "ROW_ID long, label string, code string")
+    choices = settings([1.0], [(1, 1)], [-1.0], ["logistic"], [])
+    (row,) = grid_search(one_code, choices, "code", "label", k=2, max_iter=2).collect()
+    assert row.f1 is None and row.reason
 
 
 def test_best_setting_decides_ties_by_the_choices(spark):
-    rows = [(1.0, 1, 2, 1.0, "linear", None, 0.5), (1.0, 1, 1, 1.0, "linear", None, 0.5), (0.5, 1, 1, 1.0, "linear", None, 0.4)]
+    rows = [(1.0, 1, 2, 1.0, "linear", None, 0.5, None), (1.0, 1, 1, 1.0, "linear", None, 0.5, None), (0.5, 1, 1, 1.0, "linear", None, 0.4, None),
+            (0.1, 1, 1, 1.0, "rbf", 0.1, None, "no")]
     results = spark.createDataFrame(rows, RESULT)
     assert tuple(best_setting(results).first()) == rows[1]
     assert best_setting(results.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("cut", [features.words_and_ngrams, features.words_and_char_ngrams])
+def test_ngram_features_tell_word_order_apart(spark, cut):
+    train = frame(spark, [(1, "VIN ROUGE", CODES[0]), (2, "ROUGE VIN", CODES[1])])
+    test = frame(spark, [(3, "VIN ROUGE", CODES[0]), (4, "ROUGE VIN", CODES[1])])
+    out = classify.flat_classifier(train, test, "code", "label", cut=cut).collect()
+    assert len(out) == 2 and all(r.FLAT_PRED == r.code for r in out)
+
+
+def test_character_ngrams_know_parts_of_unseen_words(spark):
+    train = frame(spark, [(1, "TOMATE", CODES[0]), (2, "POISSON", CODES[1])])
+    test = frame(spark, [(3, "TOMATES", CODES[0]), (4, "POISSONS", CODES[1])])
+    out = classify.flat_classifier(train, test, "code", "label", cut=features.words_and_char_ngrams).collect()
+    assert all(r.FLAT_PRED == r.code for r in out)
+
+
+def test_full_report_is_written_and_leaves_nothing_staged(spark, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(shared))
+    nomenclature = spark.createDataFrame(
+        [("poste", c, f"name of {c}") for c in CODES], "level string, code string, description string"
+    )
+    rows = [(i, f"{WORDS[i % 5]} {i}", CODES[i % 5]) for i in range(200)]
+    write_full_report(frame(spark, rows), nomenclature, str(tmp_path / "out"), "code", "label")
+    assert list(shared.iterdir()) == []
+    for table in ("predictions", "scores", "accuracy", "flows"):
+        assert spark.read.parquet(str(tmp_path / "out" / table)).columns
+    scores = {r.kind for r in spark.read.parquet(str(tmp_path / "out" / "scores")).collect()}
+    assert scores == {"flat", "hierarchical"}

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import astuple, dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, Normalizer, StringIndexer
@@ -34,6 +36,7 @@ RESULT = T.StructType(
         T.StructField("kernel", T.StringType()),
         T.StructField("gamma", T.DoubleType()),
         T.StructField("f1", T.DoubleType()),
+        T.StructField("reason", T.StringType()),
     ]
 )
 
@@ -154,14 +157,16 @@ def grid_search(
     max_iter: int = 50,
     parallelism: int = 2,
 ) -> DataFrame:
-    """(setting, f1): mean weighted F1 over `k` folds, best first. Settings that cannot be fitted are left out.
+    """(setting, f1, reason): mean weighted F1 over `k` folds, best first.
+
+    A setting that cannot be fitted comes last, with a null score and the reason.
 
     Rows are counted per (fold, code, text) once; every fit works on those
     counts with weights. Only the scores reach the driver.
     """
     train, held = kfold_docs(df, code, label, k, key, method)
 
-    def score(setting: Setting) -> tuple | None:
+    def score(setting: Setting) -> tuple:
         try:
             folds = [
                 _fold_score(
@@ -169,17 +174,18 @@ def grid_search(
                 )
                 for f in range(1, k + 1)
             ]
-        except ValueError:
-            return None
-        return (*astuple(setting), round(sum(folds) / k, 6))
+        except (ValueError, PySparkException, Py4JError) as error:
+            return (*astuple(setting), None, str(error).partition("\n")[0])
+        return (*astuple(setting), round(sum(folds) / k, 6), None)
 
     with ThreadPoolExecutor(parallelism) as pool:
-        results = [r for r in pool.map(score, choices) if r is not None]
-    results.sort(key=lambda r: -r[-1])
+        results = list(pool.map(score, choices))
+    results.sort(key=lambda r: (r[-2] is None, -(r[-2] or 0.0)))
     return df.sparkSession.createDataFrame(results, RESULT)
 
 
 def best_setting(results: DataFrame) -> DataFrame:
-    """The setting with the highest score; of equals the one whose choices sort first."""
-    choices = [c for c in results.columns if c != "f1"]
-    return results.orderBy(F.desc_nulls_last("f1"), *choices).limit(1)
+    """The fitted setting with the highest score; of equals the one whose choices sort first."""
+    choices = [c for c in results.columns if c not in ("f1", "reason")]
+    fitted = results.where(F.col("f1").isNotNull())
+    return fitted.orderBy(F.desc("f1"), *choices).limit(1)

@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,10 @@ def local_session(app_name: str, cores: str = "8", shuffle_partitions: int = 8)
     return spark
 
 
+# The temporary folder of this process, once one was needed.
+_fallback: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in `spark.checkpoint.dir`.
 
@@ -49,9 +55,29 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    fallback = tempfile.mkdtemp(prefix="run-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    if not _fallback:
+        _fallback.append(tempfile.mkdtemp(prefix="run-"))
+    return _fallback[0]
+
+
+# Paths staged inside each open scope, innermost last.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was staged inside, also after an error.
+
+    Results that read staged tables have to be written or collected inside. One job at a time: scopes of
+    concurrent threads would mix.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -59,5 +85,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     survives the loss of executors."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
