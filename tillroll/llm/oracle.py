@@ -80,3 +80,50 @@ r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
 """
+
+
+def _tree(name: str, levels: int = 6) -> str:
+    """Levels of the trees over {name}_n0 (k, i, h), and what folds leaves {name}_p0 (rid, k, i, now, proof)."""
+    parts = []
+    for j in range(levels):
+        parts.append(f"""
+{name}_r{j} AS (
+  SELECT k, i // 16 AS i, list(h ORDER BY i) AS run, any_value(c) > 1 AS more
+  FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM {name}_n{j}) GROUP BY k, i // 16),
+{name}_n{j + 1} AS (
+  SELECT k, i, CASE WHEN more THEN sha256(array_to_string(run, '')) ELSE run[1] END AS h FROM {name}_r{j}),
+{name}_p{j + 1} AS (
+  SELECT rid, p.k, p.i // 16 AS i,
+    CASE WHEN more THEN sha256(array_to_string(run[1:p.i % 16] || [now] || run[p.i % 16 + 2:], '')) ELSE now END AS now,
+    CASE WHEN more THEN proof || array_to_string(run[1:p.i % 16] || run[p.i % 16 + 2:], '') ELSE proof END AS proof
+  FROM {name}_p{j} p JOIN {name}_r{j} r ON p.k = r.k AND p.i // 16 = r.i)""")
+    return ",".join(parts)
+
+
+def _leaf(text: str) -> str:
+    values = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({v}) AS VARCHAR) || ':' || {v}, '-')" for v in values) + ")"
+
+
+# there is no crc32 function: eight steps for each byte of the id's digits
+ORACLE["op13_manifest"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, *, coalesce('=' || source, '') AS k FROM documents),
+crc AS (
+  SELECT doc_id AS id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda v, _: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295) AS crc
+  FROM (SELECT DISTINCT doc_id FROM d WHERE doc_id IS NOT NULL)),
+l AS (
+  SELECT rid, doc_id, k, {_leaf("text")} AS leaf,
+    CASE WHEN crc % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+  FROM d LEFT JOIN crc ON d.doc_id = crc.id),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+s_n0 AS (SELECT k, i, leaf AS h FROM o),
+s_p0 AS (SELECT rid, k, i, coalesce(changed, leaf) AS now, '' AS proof FROM o),
+{_tree("s")},
+t_n0 AS (SELECT '' AS k, row_number() OVER (ORDER BY k) - 1 AS i, h, k AS source FROM s_n6),
+t_p0 AS (SELECT rid, '' AS k, t.i, now, proof FROM s_p6 p JOIN t_n0 t ON p.k = t.source),
+{_tree("t")}
+SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = t.h AS verified
+FROM o JOIN t_p6 p ON o.rid = p.rid JOIN t_n0 s ON o.k = s.source CROSS JOIN t_n6 t
+"""

@@ -102,3 +102,10 @@ def op4_token_counts(spark, sf_dir):
     from tillroll.llm import unigram
 
     return unigram.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_manifest(spark, sf_dir):
+    from tillroll.llm import merkle
+
+    return merkle.manifest(table(spark, sf_dir, "documents"))
