@@ -127,3 +127,27 @@ t_p0 AS (SELECT rid, '' AS k, t.i, now, proof FROM s_p6 p JOIN t_n0 t ON p.k = t
 SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = t.h AS verified
 FROM o JOIN t_p6 p ON o.rid = p.rid JOIN t_n0 s ON o.k = s.source CROSS JOIN t_n6 t
 """
+
+_TERMS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLE["op12_search"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_TERMS.format(text="text")} AS w FROM documents),
+stats AS (SELECT count(*) AS total, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+m AS (
+  SELECT rid, doc_id, w, 75 + (25 * len(w)::BIGINT * total) // terms AS m FROM d, stats WHERE len(w) > 0),
+tf AS (
+  SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(w) AS term FROM m) GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * total + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM tf, stats GROUP BY term, total),
+i AS (SELECT row_number() OVER () AS nr, item_id, {_TERMS.format(text="text")} AS w FROM benchmark),
+q AS (SELECT nr, term, count(*)::BIGINT AS times FROM (SELECT nr, unnest(w) AS term FROM i) GROUP BY ALL),
+s AS (
+  SELECT nr, tf.rid, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m ON m.rid = tf.rid GROUP BY ALL),
+r AS (
+  SELECT nr, doc_id, score, CAST(row_number() OVER (PARTITION BY nr ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM s JOIN m ON s.rid = m.rid WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r JOIN i ON r.nr = i.nr WHERE rank <= 20
+"""

@@ -109,3 +109,17 @@ def op13_manifest(spark, sf_dir):
     from tillroll.llm import merkle
 
     return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_search(spark, sf_dir):
+    from tillroll.llm import lexical
+
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+@query
+def op11_classifier(spark, sf_dir):
+    from tillroll.llm import classifier
+
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
