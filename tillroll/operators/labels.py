@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillroll.functions import ean as fe
 from tillroll.functions import text as ft
 from tillroll.functions.rules import LABEL_RULES, apply_rules
+from tillroll.functions.stem import stems
 from tillroll.functions.stopwords import FRENCH
 from tillroll.operators.ean import keep_columns
 from tillroll.plans.ordering import next_in_group
@@ -91,6 +92,17 @@ def _base_forms(labels: DataFrame, dictionary: DataFrame, key: str, text: str) -
     return pieces.groupBy(key, "__n").agg(glued.alias("__form"))
 
 
+def stem_labels(df: DataFrame, label: str = "DESCRIPTION_EAN", order_col: str = "ROW_ID") -> DataFrame:
+    """Replace each word by its French stem in upper case; every distinct word is stemmed once."""
+    return normalise_tokens(df, _stem_table(df.select(label), label), label, order_col)
+
+
+def _stem_table(labels: DataFrame, label: str) -> DataFrame:
+    """(token, base) of every word of the labels. Written out, so that its size is known to the join."""
+    tokens = labels.select(F.explode(ft.words(F.col(label))).alias("token")).distinct()
+    return stage(stems(tokens), "stems")
+
+
 def clean_text(label: Column, stop: Sequence[str] = FRENCH, rules=LABEL_RULES, mask: str = "original") -> Column:
     """The row-level steps of label cleaning, up to the base forms."""
     cleaned = pre_process(label, rules, mask)
@@ -108,16 +120,23 @@ def clean_label(
     keep: Sequence[str] | None = KEEP,
     stop: Sequence[str] = FRENCH,
     len_min: int = 3,
+    stem: bool = False,
 ) -> DataFrame:
     """Clean labels and drop editions and labels that end up too short.
 
-    Every distinct label is cleaned once; the result is joined back to the rows.
+    Words get their base form from `dictionary`, or with `stem` their French stem. Every distinct label is
+    cleaned once; the result is joined back to the rows.
     """
+    if stem and dictionary is not None:
+        raise ValueError("words are stemmed or looked up, not both")
     rows = drop_editions(df, ean)
     counted = (
         rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     )
     cleaned = counted.withColumn("__clean", clean_text(F.col(label), stop))
+    if stem:
+        cleaned = stage(cleaned, "cleaned")
+        dictionary = _stem_table(cleaned, "__clean")
     if dictionary is None:
         cleaned = cleaned.withColumnRenamed("__clean", "__form")
     else:
