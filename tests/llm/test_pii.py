@@ -17,6 +17,8 @@ HARD = [
     "4539 1488 0343 6467 4539-1488-0343-6467 4539148803436468 0000000000000 1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0",
     "+1 (415) 555-0132, +49.30.1234567 +1+2345678901 + 123456789 +12 3456789 ) 1 +1234567890123456",
     "1234-5678-9012-3452 4539 1488 0343 6467 +4539 1488 0343 6467",
+    "1" * 10_000 + ".1.1.1 " + "0" * 10_000 + "7.1.1.1",
+    "x@" + "y" * 1_000_000 + ".z",
 ]
 
 
@@ -32,7 +34,7 @@ def brute(text):
     text = text or ""
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if all(int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             out.append(("ip", *m.span()))
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         d = re.sub("[^0-9]", "", m[0])

@@ -54,13 +54,19 @@ def _digits(text: bytes) -> bytes:
     return bytes(b for b in text if 48 <= b <= 57)
 
 
+def _is_ip_part(part: bytes) -> bool:
+    """Whether digits of any number stand for at most 255."""
+    value = part.lstrip(b"0")
+    return len(value) < 3 or len(value) == 3 and int(value) <= IP_PART
+
+
 def _valid(kind: int, text: bytes) -> bool:
     """The exact checks of a kind."""
     digits = _digits(text)
     if kind == 0:
         return EMAIL.fullmatch(text) is not None
     if kind == 1:
-        return all(int(part) <= IP_PART for part in text.split(b".")) if IP.fullmatch(text) else False
+        return all(map(_is_ip_part, text.split(b"."))) if IP.fullmatch(text) else False
     if kind == 2:
         return CARD_DIGITS[0] <= len(digits) <= CARD_DIGITS[1] and luhn(digits)
     return PHONE_DIGITS[0] <= len(digits) <= PHONE_DIGITS[1]
@@ -200,9 +206,9 @@ def labelled_sequences(
     At most `documents` keys chosen by hash and at most `rows` of their sequences, of which at most
     the first `words_kept` words are learned from. Labels come from the base spans.
     """
-    keys = docs.select(F.col(key).alias("__key")).where(F.col("__key").isNotNull())
-    keys = keys.orderBy(F.xxhash64("__key"), "__key").limit(documents)
-    some = docs.join(F.broadcast(keys), F.col(key) == F.col("__key"), "left_semi")
+    docs = docs.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
+    keys = docs.select("key").where(F.col("key").isNotNull()).orderBy(F.xxhash64("key"), "key").limit(documents)
+    some = docs.join(F.broadcast(keys), "key", "left_semi")
 
     def label(data, offsets):
         out = [[] for _ in range(len(offsets) - 1)]
@@ -222,7 +228,7 @@ def labelled_sequences(
         return [out]
 
     field = T.StructField("found", T.ArrayType(T.BinaryType()))
-    found = with_text_columns(some, label, [field], text_col, [key]).select(F.explode("found").alias("row"))
+    found = with_text_columns(some, label, [field], "text", ["key"]).select(F.explode("found").alias("row"))
     got = found.orderBy(F.xxhash64("row"), "row").limit(rows).toPandas()["row"]
     lines = np.frombuffer(b"".join(bytes(r) for r in got), np.int16).reshape(-1, 2, words_kept).astype(np.int64)
     return lines[:, 0], np.maximum(lines[:, 1], 0)
@@ -291,6 +297,8 @@ def mask_pii(docs: DataFrame, model: crf.LinearChain | None, text_col: str = "te
             out.append(sp.masked(text.decode(), b + m) if b or m else text)
         return [pa.array([t.encode() if isinstance(t, str) else t for t in out], pa.binary()).cast(pa.string())]
 
-    made = with_text_columns(docs, run, [T.StructField("__masked", T.StringType())], text_col, docs.columns)
-    masked = F.when(F.col(text_col).isNotNull(), F.col("__masked")).alias(text_col)
-    return made.select(*(masked if c == text_col else F.col(c) for c in docs.columns))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+    made = with_text_columns(docs.toDF(*names), run, [T.StructField("masked", T.StringType())], text, names)
+    masked = F.when(F.col(text).isNotNull(), F.col("masked"))
+    return made.select(*((masked if n == text else F.col(n)).alias(c) for n, c in zip(names, docs.columns)))

@@ -210,9 +210,9 @@ def keep_one_of_each(
     docs: DataFrame, shingle: int = 3, radius: int = 3, text_col: str = "text", id_col: str = "doc_id"
 ) -> DataFrame:
     """One row of each near-duplicate group, the one with the smallest id; all columns stay as they are."""
-    rows = with_fingerprint(docs.select("*", F.lit(0).alias("__")), shingle, text_col, docs.columns)
     names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = rows.toDF(*names, "fingerprint").withColumn("row", F.monotonically_increasing_id())
+    rows = with_fingerprint(docs.toDF(*names), shingle, names[docs.columns.index(text_col)], names)
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     rows = stage(rows, "simhash")
     key = names[docs.columns.index(id_col)]
     least = _groups(rows.select("fingerprint", _order(key, "row").alias("id")), radius)
