@@ -21,6 +21,7 @@ from tillroll.operators import (
     hierarchy,
     labelling,
     labels,
+    linear,
     lookup,
     reports,
     split,
@@ -493,11 +494,18 @@ def flat_classifier_documents(spark, sf):
 
 @query
 def linear_classifier(spark, sf):
-    """Spark ML on the same task, on the divisions of the code."""
-    rows = view(spark, sf, "predictions").select("row_id", "label", F.substring("true_coicop", 1, 2).alias("code"))
-    setting = tune.settings([1.0], [(1, 2)], [10.0], ["logistic"], [])[0]
+    """Weights per term for all codes, labels as receipts print them."""
+    rows = view(spark, sf, "coded_labels")
     train, test = split.train_test_split(rows, "row_id")
-    return tune.linear_classifier(train, test, "code", "label", setting, "row_id", max_iter=10)
+    return linear.linear_classifier(train, test, "true_coicop", "label", "row_id")
+
+
+@query
+def linear_tree_classifier(spark, sf):
+    """Weights per term under every node of the code tree."""
+    rows = view(spark, sf, "coded_labels")
+    train, test = split.train_test_split(rows, "row_id")
+    return linear.linear_tree_classifier(train, test, "true_coicop", "label", "row_id")
 
 
 @query
@@ -562,13 +570,24 @@ def kfold_scores_contiguous(spark, sf):
     return classify.kfold_scores(rows, "true_coicop", "label", 5, "row_id", "contiguous")
 
 
+def _grid(spark, sf) -> DataFrame:
+    choices = tune.settings(
+        max_dfs=[0.1, 1.0], ngram_ranges=[(1, 1), (1, 2)], cs=[1.0], kernels=["linear", "rbf", "sigmoid"], gammas=[0.5]
+    )
+    return tune.grid_search(view(spark, sf, "predictions"), choices, "true_coicop", "label", key="row_id")
+
+
 @query
 def grid_search(spark, sf):
-    rows = view(spark, sf, "predictions").select("row_id", "label", F.substring("true_coicop", 1, 2).alias("code"))
-    settings = tune.settings(
-        max_dfs=[0.5, 1.0], ngram_ranges=[(1, 1)], cs=[1.0], kernels=["linear", "rbf"], gammas=[0.1]
-    )
-    return tune.grid_search(rows, settings, "code", "label", key="row_id", k=2, max_iter=5)
+    return _grid(spark, sf)
+
+
+@query
+def best_setting(spark, sf):
+    """The best setting of the grid, written and read again."""
+    path = _path(spark, "best")
+    writers.write_setting(tune.best_setting(_grid(spark, sf)), path)
+    return spark.read.text(path)
 
 
 # evaluation

@@ -118,6 +118,9 @@ SELECT o_orderkey AS row_id,
     WHEN 19 THEN p_name || ' ab'
     ELSE p_name END AS label
 FROM orders JOIN part ON p_partkey = o_custkey""",
+    # labels as receipts print them, with the code of their product
+    "coded_labels": """
+SELECT r.row_id, r.label, p.true_coicop FROM raw_labels r JOIN predictions p ON r.row_id = p.row_id""",
     "cleaned": """
 SELECT row_id, ean_final, description_ean_final, id_famille, ca FROM (
   SELECT o_orderkey AS row_id,
@@ -144,6 +147,7 @@ NEEDS = {
     "nomen": ("predictions", "nomenclature"),
     "label_nomen": ("family_code", "variety_code"),
     "coded": ("cleaned",),
+    "coded_labels": ("raw_labels", "predictions"),
 }
 
 

@@ -1,31 +1,27 @@
-"""Grid search over text features and linear classifiers of Spark ML."""
+"""Grid search over text features, strengths and kernels of top-down classifiers."""
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import astuple, dataclass
-
-from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import IDF, HashingTF, IndexToString, Normalizer, StringIndexer
-from pyspark.ml.functions import vector_to_array
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.operators.bayes import count_docs
-from tillroll.operators.classify import copy_to_rows, distinct_labels, kfold_docs
+from tillroll.functions.codes import LEVELS
+from tillroll.operators import kernels, linear
+from tillroll.operators.bayes import Edges
+from tillroll.operators.classify import tree_edges
 from tillroll.operators.evaluate import weighted_scores
-from tillroll.operators.features import terms_of
+from tillroll.operators.split import with_fold
+from tillroll.session import stage
 
 # Kernels that take a gamma.
 WITH_GAMMA = ("rbf", "sigmoid")
-# Terms are hashed into this many features: none is dropped, and no vocabulary is collected.
-WIDTH = 1 << 18
+# Kernels without a feature map, by their loss.
+LOSS_OF = {"linear": "squared_hinge", "logistic": "logistic"}
 
 RESULT = T.StructType(
     [
@@ -50,6 +46,14 @@ class Setting:
     kernel: str
     gamma: float | None
 
+    def problem(self) -> str | None:
+        """Why it cannot be fitted."""
+        if self.kernel not in LOSS_OF and self.kernel not in kernels.KERNELS:
+            return f"no classifier for kernel {self.kernel}"
+        if not self.c > 0 or self.kernel in WITH_GAMMA and not (self.gamma or 0) > 0:
+            return "c and gamma have to be positive"
+        return None
+
 
 def settings(
     max_dfs: Sequence[float],
@@ -66,86 +70,35 @@ def settings(
     ]
 
 
-def pipeline(setting: Setting, text: str = "text", code: str = "code", max_iter: int = 50) -> Pipeline:
-    """TF-IDF of word n-grams and a linear classifier; expects the columns `terms`, `code` and `n` (a weight)."""
-    common = dict(featuresCol="features", labelCol="y", weightCol="n", predictionCol="y_pred")
-    strength = 1.0 / setting.c
-    if setting.kernel == "linear":
-        base = LinearSVC(regParam=strength / 1000, maxIter=max_iter, weightCol="n")
-        learner = OneVsRest(classifier=base, parallelism=4, **common)
-    elif setting.kernel == "logistic":
-        learner = LogisticRegression(regParam=strength / 1000, maxIter=max_iter, **common)
-    else:
-        raise ValueError(f"no classifier for kernel {setting.kernel}")
-    counter = HashingTF(inputCol="terms", outputCol="tf", numFeatures=WIDTH)
-    return Pipeline(
-        stages=[
-            StringIndexer(inputCol=code, outputCol="y", handleInvalid="error", stringOrderType="alphabetAsc"),
-            counter,
-            IDF(inputCol="tf", outputCol="tfidf"),
-            Normalizer(inputCol="tfidf", outputCol="features"),
-            learner,
-        ]
-    )
-
-
-def _too_common(learned: DataFrame, max_df: float) -> list[str]:
-    """Terms in more than a share `max_df` of the rows that the texts stand for (`n`).
-
-    There are at most as many as terms per row, divided by `max_df`.
-    """
-    rows = learned.select(F.sum("n").alias("rows"))
-    terms = learned.select("n", F.explode(F.array_distinct("terms")).alias("term"))
-    counted = terms.groupBy("term").agg(F.sum("n").alias("n"))
-    return [r["term"] for r in counted.where(F.col("n") > max_df * rows.scalar()).select("term").collect()]
-
-
-def _predicted(train: DataFrame, texts: DataFrame, setting: Setting, max_iter: int) -> DataFrame:
-    """`texts` (text, ...) with `pred` and the classifier's own columns, after fitting on (code, text, n)."""
-    terms = terms_of(F.col("text"), setting.ngram_low, setting.ngram_high).alias("terms")
-    learned = train.select("code", "n", terms)
-    if setting.max_df < 1:
-        common = _too_common(learned, setting.max_df)
-        usual = F.filter("terms", lambda t: ~F.array_contains(F.array(*map(F.lit, common)).cast("array<string>"), t))
-        learned = learned.withColumn("terms", usual)
-    fitted = pipeline(setting, max_iter=max_iter).fit(learned)
-    names = IndexToString(inputCol="y_pred", outputCol="pred", labels=fitted.stages[0].labels)
-    # without the indexer: texts to predict may have unknown classes or none
-    out = texts.select("*", terms)
-    if setting.max_df < 1:
-        out = out.withColumn("terms", usual)
-    for step in [*fitted.stages[1:], names]:
-        out = step.transform(out)
+def _spec(setting: Setting, model: int, split: int) -> linear.Spec:
+    terms = (model, split, setting.ngram_low, setting.ngram_high, setting.max_df, setting.c)
+    if setting.kernel in LOSS_OF:
+        return linear.Spec(*terms, LOSS_OF[setting.kernel])
+    return kernels.KernelSpec(*terms, kernel=setting.kernel, gamma=float(setting.gamma))
+
+
+def _predicted(docs: DataFrame, specs: Sequence[linear.Spec], edges: Edges, rounds: int, width: int) -> DataFrame:
+    """(model, true, pred, n) over the rows that each model's split holds back."""
+    dense = [s for s in specs if isinstance(s, kernels.KernelSpec)]
+    plain = [s for s in specs if not isinstance(s, kernels.KernelSpec)]
+    steps = []
+    if plain:
+        weights = linear.fit(docs, plain, edges, rounds)
+        steps.append((plain, lambda at: linear.predict(at, weights)))
+    if dense:
+        maps = kernels.fit(docs, dense, edges, width, rounds)
+        steps.append((dense, lambda at: kernels.predict(at, maps)))
+    out = None
+    for some, step in steps:
+        asked = [F.struct(F.lit(s.model).alias("model"), F.get("held", F.lit(s.split)).alias("n")) for s in some]
+        held = docs.select("code", "id", F.inline(F.array(*asked))).where("n > 0")
+        paths = linear.descend(held.select("model", "id").distinct(), len(LEVELS), step)
+        pairs = held.join(paths, ["model", "id"]).groupBy("model", F.col("code").alias("true"), "pred")
+        pairs = pairs.agg(F.sum("n").alias("n"))
+        out = pairs if out is None else out.unionByName(pairs)
     return out
 
 
-def linear_classifier(
-    train: DataFrame,
-    test: DataFrame,
-    code: str,
-    label: str,
-    setting: Setting,
-    order_col: str = "ROW_ID",
-    max_iter: int = 50,
-) -> DataFrame:
-    """Test rows with FLAT_PRED and CONFIDENCE (null for classifiers without probabilities).
-
-    Fitted on counted distinct rows with weights; each distinct label is predicted once.
-    """
-    scored = _predicted(count_docs(train, code, label), distinct_labels(test, label), setting, max_iter)
-    confidence = F.lit(None).cast("double")
-    if "probability" in scored.columns:
-        confidence = F.array_max(vector_to_array("probability"))
-    answers = scored.select("id", "n", F.col("pred").alias("FLAT_PRED"), confidence.alias("CONFIDENCE"))
-    return copy_to_rows(test, answers, label, order_col)
-
-
-def _fold_score(train: DataFrame, held: DataFrame, setting: Setting, max_iter: int) -> float:
-    scored = _predicted(train, held, setting, max_iter)
-    pairs = scored.groupBy(F.col("code").alias("true"), "pred").agg(F.sum("n").alias("n"))
-    return weighted_scores(pairs).first()["f1"]
-
-
 def grid_search(
     df: DataFrame,
     choices: Sequence[Setting],
@@ -154,34 +107,33 @@ def grid_search(
     key: str = "ROW_ID",
     k: int = 5,
     method: str = "hash",
-    max_iter: int = 50,
-    parallelism: int = 2,
+    rounds: int = 10,
+    width: int = kernels.WIDTH,
 ) -> DataFrame:
-    """(setting, f1, reason): mean weighted F1 over `k` folds, best first.
+    """(setting, f1, reason): mean weighted F1 of the predicted codes over `k` folds, best first.
 
-    A setting that cannot be fitted comes last, with a null score and the reason.
+    A setting that cannot be fitted comes last, with a null score and the reason; so does one without rows.
 
-    Rows are counted per (fold, code, text) once; every fit works on those
-    counts with weights. Only the scores reach the driver.
+    Rows are counted per code and text once, with the number in each fold; what a fold trains on is the total
+    minus its own. All settings and folds without a feature map are fitted and scored together, and so are all
+    those with one. Only the scores reach the driver.
     """
-    train, held = kfold_docs(df, code, label, k, key, method)
-
-    def score(setting: Setting) -> tuple:
-        try:
-            folds = [
-                _fold_score(
-                    train.where(F.col("fold") == f), held.where(F.col("fold") == f), setting, max_iter
-                )
-                for f in range(1, k + 1)
-            ]
-        except (ValueError, PySparkException, Py4JError) as error:
-            return (*astuple(setting), None, str(error).partition("\n")[0])
-        return (*astuple(setting), round(sum(folds) / k, 6), None)
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(score, choices))
-    results.sort(key=lambda r: (r[-2] is None, -(r[-2] or 0.0)))
-    return df.sparkSession.createDataFrame(results, RESULT)
+    fitted = [(i, s) for i, s in enumerate(choices) if s.problem() is None]
+    rows = with_fold(df.where(F.col(code).isNotNull() & F.col(label).isNotNull()), k, key, method)
+    docs = linear.count_texts(rows, code, label, [F.col("fold") == f for f in range(1, k + 1)])
+    specs = [_spec(s, i * k + split, split) for i, s in fitted for split in range(k)]
+    scores = {}
+    if specs:
+        pairs = stage(_predicted(docs, specs, tree_edges, rounds, width), "pairs")
+        by_model = weighted_scores(pairs, ["model"])
+        means = by_model.groupBy(F.floor(F.col("model") / k).alias("setting")).agg(F.round(F.avg("f1"), 6).alias("f1"))
+        scores = {r["setting"]: r["f1"] for r in means.collect()}
+    table = [
+        (s.max_df, s.ngram_low, s.ngram_high, s.c, s.kernel, s.gamma, scores.get(i), s.problem() or (None if i in scores else "no rows"))
+        for i, s in enumerate(choices)
+    ]
+    table.sort(key=lambda r: (r[-2] is None, -(r[-2] or 0.0)))
+    return df.sparkSession.createDataFrame(table, RESULT)
 
 
 def best_setting(results: DataFrame) -> DataFrame:

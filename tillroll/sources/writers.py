@@ -25,3 +25,9 @@ def write_labelled_lines(df: DataFrame, code: str, text: str, path: str) -> None
 
 def strip_label_prefix(pred: Column) -> Column:
     return F.replace(pred.cast("string"), F.lit(LABEL_PREFIX), F.lit(""))
+
+
+def write_setting(best: DataFrame, path: str) -> None:
+    """The best setting as text: a heading, and one line of JSON per row."""
+    lines = best.select(F.array(F.lit("Best parameters are:"), F.to_json(F.struct("*"))).alias("lines"))
+    lines.select(F.explode("lines").alias("value")).coalesce(1).write.mode("overwrite").text(path)
