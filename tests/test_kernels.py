@@ -101,7 +101,7 @@ def test_blocks_change_nothing(docs, monkeypatch):
 def test_grid_scores_every_kernel(spark):
     rows = spark.createDataFrame(receipts(7), "row_id long, label string, code string")
     choices = tune.settings([1.0], [(1, 1), (1, 2)], [1.0], ["linear", "rbf", "sigmoid", "poly"], [0.5])
-    got = tune.grid_search(rows, choices, "code", "label", "row_id", k=2, rounds=4, width=64).collect()
+    got = tune.grid_search(rows, choices, "code", "label", "row_id", k=2, max_iter=4, width=64).collect()
     assert len(got) == 8
     by_kernel = {}
     for r in got:
@@ -116,6 +116,6 @@ def test_grid_scores_every_kernel(spark):
 def test_grid_without_rows(spark):
     empty = spark.createDataFrame([], "row_id long, label string, code string")
     choices = tune.settings([1.0], [(1, 1)], [1.0], ["linear", "rbf", "sigmoid"], [0.5])
-    got = tune.grid_search(empty, choices, "code", "label", "row_id", k=2, rounds=2, width=4).collect()
+    got = tune.grid_search(empty, choices, "code", "label", "row_id", k=2, max_iter=2, width=4).collect()
     assert [r["reason"] for r in got] == ["no rows"] * 3
     assert len(CODES) == 4

@@ -49,22 +49,60 @@ def count_docs(df: DataFrame, code: str, text: str, by: Sequence[str] = ()) -> D
     return stage(docs, "docs")
 
 
+def count_texts(df: DataFrame, code: str, label: str, held: Sequence[Column] = ()) -> DataFrame:
+    """(code, text, id, n, held): rows per code and text, and how many of them each split holds back.
+
+    One pass over the rows, whatever the number of splits; without splits one that holds nothing back. Written out.
+    """
+    flags = [F.sum(h.cast("long")) for h in held] or [F.lit(0).cast("long")]
+    docs = (
+        df.where(F.col(code).isNotNull() & F.col(label).isNotNull())
+        .groupBy(F.col(code).alias("code"), F.col(label).alias("text"))
+        .agg(F.count(F.lit(1)).alias("n"), F.array(*flags).alias("held"))
+    )
+    return stage(docs.withColumn("id", text_id(F.col("text"))), "docs")
+
+
+def split_counts(rows: DataFrame, keys: Sequence[str], splits: int, by: str, first: int = 0) -> DataFrame:
+    """(by, *keys, n): what each split trains on, the total minus what it holds back, for `rows` with n and held.
+
+    Rows are added up per key for all splits at once; a key is unfolded only afterwards.
+    """
+    sums = rows.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(F.get("held", F.lit(i))).alias(f"__h{i}") for i in range(splits)])
+    left = [F.struct(F.lit(first + i).cast("long").alias(by), (F.col("n") - F.col(f"__h{i}")).alias("n")) for i in range(splits)]
+    return sums.select(*keys, F.inline(F.array(*left))).where("n > 0")
+
+
+def held_counts(rows: DataFrame, keys: Sequence[str], splits: int, by: str, first: int = 0) -> DataFrame:
+    """(by, *keys, n): what each split holds back, for `rows` with held."""
+    held = [F.struct(F.lit(first + i).cast("long").alias(by), F.get("held", F.lit(i)).alias("n")) for i in range(splits)]
+    return rows.select(*keys, F.inline(F.array(*held))).where("n > 0")
+
+
 def fit(docs: DataFrame, edges: Edges, by: Sequence[str] = (), cut: Cut = words) -> Model:
     """Train all nodes; the model is two written tables."""
+    rows = docs.groupBy(*by, "code").agg(F.sum("n").alias("n"))
+    tokens = docs.select(*by, "code", F.explode(cut(F.col("text"))).alias("token"), "n")
+    return _fit_counts(rows, tokens.groupBy(*by, "code", "token").agg(F.sum("n").alias("n")), edges, by, cut)
+
+
+def fit_splits(docs: DataFrame, edges: Edges, splits: int, by: str, first: int = 0, cut: Cut = words) -> Model:
+    """One model per split of `docs`, as made by `count_texts`, keyed by `by` from `first` on. Texts are cut
+    once and their words counted once, whatever the number of splits."""
+    tokens = docs.select("code", F.explode(cut(F.col("text"))).alias("token"), "n", "held")
+    rows = split_counts(docs, ["code"], splits, by, first)
+    return _fit_counts(rows, split_counts(tokens, ["code", "token"], splits, by, first), edges, [by], cut)
+
+
+def _fit_counts(rows: DataFrame, words_of: DataFrame, edges: Edges, by: Sequence[str], cut: Cut) -> Model:
+    """The model from rows per code and words per code."""
     by = list(by)
     rows = (
-        docs.groupBy(*by, "code")
-        .agg(F.sum("n").alias("n"))
-        .select(*by, F.inline(edges(F.col("code"))), "n")
-        .groupBy(*by, "parent", "child")
-        .agg(F.sum("n").alias("rows"))
+        rows.select(*by, F.inline(edges(F.col("code"))), "n").groupBy(*by, "parent", "child").agg(F.sum("n").alias("rows"))
     )
     # The levels are unfolded only after the words of a code are summed up.
     counts = (
-        docs.select(*by, "code", F.explode(cut(F.col("text"))).alias("token"), "n")
-        .groupBy(*by, "code", "token")
-        .agg(F.sum("n").alias("n"))
-        .select(*by, F.inline(edges(F.col("code"))), "token", "n")
+        words_of.select(*by, F.inline(edges(F.col("code"))), "token", "n")
         .groupBy(*by, "parent", "child", "token")
         .agg(F.sum("n").alias("n"))
     )

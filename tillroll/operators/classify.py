@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.codes import CODE_LENGTH, LEVELS, prefixes
 from tillroll.functions.text import let, words
-from tillroll.operators.bayes import Cut, Model, count_docs, fit, predict, text_id, word_rows
+from tillroll.operators.bayes import (
+    Cut,
+    Model,
+    count_docs,
+    count_texts,
+    fit,
+    fit_splits,
+    held_counts,
+    predict,
+    text_id,
+    word_rows,
+)
 from tillroll.operators.evaluate import hierarchical_scores, weighted_scores
 from tillroll.operators.lookup import descriptions
 from tillroll.operators.split import is_test, with_fold
@@ -176,25 +187,26 @@ def lcpl_classifier(
     return copy_to_rows(test, wide, label, order_col)
 
 
-def _scored_pairs(train_docs: DataFrame, test_docs: DataFrame, by: str, kind: str, cut: Cut) -> DataFrame:
-    """(by, true, pred, n) of the flat or the top-down classifier, one model per value of `by`, all in one job.
+def _scored_pairs(docs: DataFrame, splits: int, by: str, first: int, kind: str, cut: Cut) -> DataFrame:
+    """(by, true, pred, n) of the flat or the top-down classifier, one model per split of `docs`, all in one job.
 
-    The test side is counted per (by, code, text), so predictions never go back to single rows.
+    Texts are cut once for all splits; predictions never go back to single rows.
     """
-    named = test_docs.withColumn("id", text_id(F.col("text")))
-    tokens = word_rows(named.select(by, "id", "text").distinct(), cut)
+    held = held_counts(docs, ["code", "id"], splits, by, first)
+    asked = [F.max((F.get("held", F.lit(i)) > 0).cast("int")).alias(f"__a{i}") for i in range(splits)]
+    texts = docs.groupBy("id").agg(F.first("text").alias("text"), *asked)
+    marks = F.array(*[F.when(F.col(f"__a{i}") == 1, F.lit(first + i).cast("long")) for i in range(splits)])
+    texts = texts.select("id", "text", F.filter(marks, lambda m: m.isNotNull()).alias("__in"))
+    tokens = word_rows(texts, cut).select("id", "token", "times", F.explode("__in").alias(by))
     if kind == "flat":
-        model = fit(train_docs, flat_edges, [by], cut)
+        model = fit_splits(docs, flat_edges, splits, by, first, cut)
         predicted = predict(tokens.withColumn("parent", F.lit(ROOT)), model).select(by, "id", "pred")
     elif kind == "lcpn":
-        predicted = descend(stage(tokens, "words"), fit(train_docs, tree_edges, [by], cut))
+        predicted = descend(stage(tokens, "words"), fit_splits(docs, tree_edges, splits, by, first, cut))
     else:
         raise ValueError(f"no model of kind {kind}")
-    return (
-        named.join(predicted, [by, "id"])
-        .groupBy(by, F.col("code").alias("true"), "pred")
-        .agg(F.sum("n").alias("n"))
-    )
+    pairs = held.join(predicted, [by, "id"]).groupBy(by, F.col("code").alias("true"), "pred")
+    return pairs.agg(F.sum("n").alias("n"))
 
 
 def repeated_holdout(
@@ -203,15 +215,10 @@ def repeated_holdout(
 ) -> DataFrame:
     """Means over `n` random splits of flat and hierarchical precision, recall and F1 of a model, "flat" or "lcpn".
 
-    Split i uses seed + i. Every row is sent to its side of all splits at once.
+    Split i uses seed + i. Rows are read once and counted per code and text, with the number each split tests on.
     """
-    seeds = F.explode(F.array(*[F.lit(seed + i) for i in range(n)])).alias("split")
-    dealt = df.where(F.col(code).isNotNull() & F.col(label).isNotNull()).select(code, label, key, seeds)
-    dealt = dealt.withColumn("__test", is_test(F.col(key), F.col("split"), test))
-    docs = count_docs(dealt, code, label, ["split", "__test"])
-    pairs = _scored_pairs(
-        docs.where(~F.col("__test")).drop("__test"), docs.where(F.col("__test")).drop("__test"), "split", model, cut
-    )
+    held = [is_test(F.col(key), F.lit(seed + i), test) for i in range(n)]
+    pairs = _scored_pairs(count_texts(df, code, label, held), n, "split", seed, model, cut)
     pairs = stage(pairs, "pairs")
     names = ("precision", "recall", "f1")
     flat = weighted_scores(pairs, ["split"]).select("split", *[F.col(c).alias(f"flat_{c}") for c in names])
@@ -222,29 +229,14 @@ def repeated_holdout(
     )
 
 
-def kfold_docs(
-    df: DataFrame, code: str, label: str, k: int, key: str, method: str
-) -> tuple[DataFrame, DataFrame]:
-    """Training and validation documents per fold, as counts.
-
-    Rows are counted per fold once; the training side of a fold is the sum of the other folds' counts.
-    """
-    rows = df.where(F.col(code).isNotNull() & F.col(label).isNotNull())
-    held = count_docs(with_fold(rows, k, key, method), code, label, ["fold"])
-    others = F.filter(F.sequence(F.lit(1), F.lit(k)).cast("array<bigint>"), lambda f: f != F.col("fold"))
-    train = stage(
-        held.select(F.explode(others).alias("fold"), "code", "text", "n")
-        .groupBy("fold", "code", "text")
-        .agg(F.sum("n").alias("n")),
-        "train",
-    )
-    return train, held
-
-
 def kfold_scores(
     df: DataFrame, code: str, label: str, k: int = 5, key: str = "ROW_ID", method: str = "hash",
     model: str = "flat", cut: Cut = words,
 ) -> DataFrame:
-    """(fold, precision, recall, f1, support) of a model, "flat" or "lcpn", on each fold."""
-    train, held = kfold_docs(df, code, label, k, key, method)
-    return weighted_scores(_scored_pairs(train, held, "fold", model, cut), ["fold"])
+    """(fold, precision, recall, f1, support) of a model, "flat" or "lcpn", on each fold.
+
+    Rows are counted per code and text once, with the number in each fold; a fold trains on the total minus its own.
+    """
+    rows = with_fold(df.where(F.col(code).isNotNull() & F.col(label).isNotNull()), k, key, method)
+    docs = count_texts(rows, code, label, [F.col("fold") == f for f in range(1, k + 1)])
+    return weighted_scores(_scored_pairs(docs, k, "fold", 1, model, cut), ["fold"])

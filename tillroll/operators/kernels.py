@@ -287,7 +287,7 @@ def _fit_block(examples: DataFrame, nodes: list[Node], width: int, rounds: int)
 def fit(
     docs: DataFrame, specs: Sequence[KernelSpec], edges: Edges, width: int = WIDTH, rounds: int = 10, seed: int = SEED
 ) -> KernelModel:
-    """All models of `specs` on `docs`, as made by `linear.count_texts`. The maps hold every text of `docs`."""
+    """All models of `specs` on `docs`, as made by `bayes.count_texts`. The maps hold every text of `docs`."""
     unknown = {s.kernel for s in specs} - set(KERNELS)
     if unknown:
         raise ValueError(f"no kernel {sorted(unknown)}")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.codes import LEVELS
-from tillroll.operators.bayes import Edges, text_id
+from tillroll.operators.bayes import Edges, count_texts, text_id
 from tillroll.operators.classify import ROOT, copy_to_rows, distinct_labels, flat_edges, tree_edges
 from tillroll.operators.features import terms_of
 from tillroll.plans.skew import fits_broadcast, heaviest, join_answers, join_staged, join_weighted
@@ -65,20 +65,6 @@ class Linear:
     width: int
 
 
-def count_texts(df: DataFrame, code: str, label: str, held: Sequence[Column] = ()) -> DataFrame:
-    """(code, text, id, n, held): rows per code and text, and how many of them each split holds back.
-
-    One pass over the rows, whatever the number of splits; without splits one that holds nothing back. Written out.
-    """
-    flags = [F.sum(h.cast("long")) for h in held] or [F.lit(0).cast("long")]
-    docs = (
-        df.where(F.col(code).isNotNull() & F.col(label).isNotNull())
-        .groupBy(F.col(code).alias("code"), F.col(label).alias("text"))
-        .agg(F.count(F.lit(1)).alias("n"), F.array(*flags).alias("held"))
-    )
-    return stage(docs.withColumn("id", text_id(F.col("text"))), "docs")
-
-
 def add_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` and the texts of `labels` (text), as rows that no model learns from."""
     more = labels.where(F.col("text").isNotNull()).select("text").distinct()
@@ -284,7 +270,7 @@ class Trainer:
 
 
 def fit(docs: DataFrame, specs: Sequence[Spec], edges: Edges, rounds: int = 10) -> Linear:
-    """All models of `specs` on `docs`, as made by `count_texts`, with `rounds` rounds each.
+    """All models of `specs` on `docs`, as made by `bayes.count_texts`, with `rounds` rounds each.
 
     Rows that a model's split holds back do not count for it. A node with one child needs no weights.
     """

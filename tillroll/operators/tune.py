@@ -107,7 +107,7 @@ def grid_search(
     key: str = "ROW_ID",
     k: int = 5,
     method: str = "hash",
-    rounds: int = 10,
+    max_iter: int = 10,
     width: int = kernels.WIDTH,
 ) -> DataFrame:
     """(setting, f1, reason): mean weighted F1 of the predicted codes over `k` folds, best first.
@@ -124,7 +124,7 @@ def grid_search(
     specs = [_spec(s, i * k + split, split) for i, s in fitted for split in range(k)]
     scores = {}
     if specs:
-        pairs = stage(_predicted(docs, specs, tree_edges, rounds, width), "pairs")
+        pairs = stage(_predicted(docs, specs, tree_edges, max_iter, width), "pairs")
         by_model = weighted_scores(pairs, ["model"])
         means = by_model.groupBy(F.floor(F.col("model") / k).alias("setting")).agg(F.round(F.avg("f1"), 6).alias("f1"))
         scores = {r["setting"]: r["f1"] for r in means.collect()}
@@ -136,6 +136,16 @@ def grid_search(
     return df.sparkSession.createDataFrame(table, RESULT)
 
 
+def linear_classifier(
+    train: DataFrame, test: DataFrame, code: str, label: str, setting: Setting, order_col: str = "ROW_ID", max_iter: int = 10
+) -> DataFrame:
+    """`linear.linear_classifier` with the choices of a setting without a feature map."""
+    if setting.kernel not in LOSS_OF:
+        raise ValueError(f"{setting.kernel} needs a feature map")
+    ngram, loss = (setting.ngram_low, setting.ngram_high), LOSS_OF[setting.kernel]
+    return linear.linear_classifier(train, test, code, label, order_col, ngram, setting.max_df, setting.c, loss, max_iter)
+
+
 def best_setting(results: DataFrame) -> DataFrame:
     """The fitted setting with the highest score; of equals the one whose choices sort first."""
     choices = [c for c in results.columns if c not in ("f1", "reason")]
