@@ -559,11 +559,11 @@ add(
 )
 add(
     "flat_classifier_unseen_labels",
-    "predictions",
-    """SELECT row_id, label, code, child AS FLAT_PRED, confidence AS CONFIDENCE
+    "coded_labels",
+    """SELECT row_id, label, true_coicop, child AS FLAT_PRED, confidence AS CONFIDENCE
     FROM parted JOIN pred ON text = label WHERE test""",
-    split_cte("row_id, label, left(true_coicop, 6) AS code", "predictions", "label"),
-    "train AS (SELECT code, label AS text FROM parted WHERE NOT test)",
+    split_cte("row_id, label, true_coicop", "coded_labels", "label"),
+    "train AS (SELECT true_coicop AS code, label AS text FROM parted WHERE NOT test)",
     TEST,
     model(FLAT_EDGES),
     predictions("items"),

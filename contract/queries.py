@@ -16,6 +16,7 @@ from tillroll.functions.stopwords import FRENCH
 from tillroll.operators import (
     classify,
     ean,
+    embed,
     evaluate,
     features,
     hierarchy,
@@ -466,12 +467,19 @@ def flat_classifier(spark, sf):
     return classify.flat_classifier(*_split(spark, sf), "true_coicop", "label", "row_id")
 
 
+def _unseen(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Split on the label, so that no test label occurs in training."""
+    return split.train_test_split(view(spark, sf, "coded_labels"), "label")
+
+
 @query
 def flat_classifier_unseen_labels(spark, sf):
-    """Split on the label, so that no test label occurs in training."""
-    rows = view(spark, sf, "predictions").select("row_id", "label", F.substring("true_coicop", 1, 6).alias("code"))
-    train, test = split.train_test_split(rows, "label")
-    return classify.flat_classifier(train, test, "code", "label", "row_id")
+    return classify.flat_classifier(*_unseen(spark, sf), "true_coicop", "label", "row_id")
+
+
+@query
+def embedding_classifier(spark, sf):
+    return embed.embedding_classifier(*_unseen(spark, sf), "true_coicop", "label", "row_id")
 
 
 @query
