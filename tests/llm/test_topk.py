@@ -48,11 +48,31 @@ def test_index_proves_before_it_leaves_out(seed):
     values = np.floor(256 * rng.normal(0, [0.3, 0.02][seed % 2], (n, dims)) ** [1, 3][seed // 3]).astype(np.int64)
     ids = rng.permutation(n) + 10
     index = topk.ImpactIndex(ids, values)
-    left_out = 0
-    for q in range(0, n, 25):
-        query, own = values[q], ids[q]
-        scores = values @ query
-        order = sorted((-s, i) for s, i in zip(scores.tolist(), ids.tolist()) if i != own)[:5]
-        assert index.best(query, own, 5) == [(i, -s) for s, i in order]
-        left_out += n - len(index._possible(query, index.ids != own, 5))
-    assert left_out > 0
+    asked = np.arange(0, n, 25)
+    best = index.best(values[asked], ids[asked], 5)
+    possible = index._possible_rows(values[asked], ids[asked], 5)
+    for q, got, rows in zip(asked, best, possible):
+        scores = values @ values[q]
+        order = sorted((-s, i) for s, i in zip(scores.tolist(), ids.tolist()) if i != ids[q])[:5]
+        assert got == [(i, -s) for s, i in order]
+        assert {i for _, i in order} <= set(index.ids[rows].tolist())
+    assert sum(map(len, possible)) < 0.2 * n * len(asked)
+
+
+def test_large_components():
+    values = np.array([[1 << 40, -5], [-(1 << 40), 7], [3, 4], [1 << 20, 1], [2, 2]] * 6, np.int64)
+    ids = np.arange(len(values))
+    index = topk.ImpactIndex(ids, values)
+    queries = np.array([[1, 1], [1 << 20, 0], [0, 1 << 59]])
+    for query, got in zip(queries, index.best(queries, np.array([0, 7, 100]), 3)):
+        own = {0: 0, 1: 7, 2: 100}[[q.tolist() for q in queries].index(query.tolist())]
+        exact = sorted((-sum(int(a) * int(b) for a, b in zip(v, query)), i) for i, v in enumerate(values) if i != own)
+        assert got == [(i, -s) for s, i in exact[:3]]
+    with pytest.raises(OverflowError):
+        index.best(np.array([[1 << 40, 0]]), np.array([100]), 3)
+
+
+def test_components_beyond_a_long_take_no_part(spark):
+    rows = [(0, [0.5, 0.5], 0, None, None), (1, [1e30, 0.0], 0, None, None), (2, [0.25, 0.0], 0, None, None)]
+    got = topk.top_k(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 2, 128 * 64)]
