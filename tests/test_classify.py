@@ -130,7 +130,7 @@ def test_linear_classifier(spark):
     train, test = frame(spark, learnable(90)), frame(spark, learnable(30))
     for kernel in ("logistic", "linear"):
         setting = settings([1.0], [(1, 1)], [10.0], [kernel], [])[0]
-        out = linear_classifier(train, test, "code", "label", setting, max_iter=20).collect()
+        out = linear_classifier(train, test, "code", "label", setting, max_iter=5).collect()
         assert len(out) == 30
         assert all(r.FLAT_PRED == r.code for r in out)
         assert (out[0].CONFIDENCE is not None) == (kernel == "logistic")

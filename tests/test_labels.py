@@ -66,6 +66,17 @@ def test_common_subsequence(spark):
         assert r.n == lcs(r.a, r.b)
 
 
+def test_common_subsequence_of_long_labels(spark):
+    """Lengths around the borders of the words of bits, carries over several of them, letters beyond ASCII."""
+    rnd = random.Random(5)
+    pairs = [("A" * n, "A" * m) for n in (62, 63, 124, 125, 186) for m in (61, 63, 124, 187)]
+    pairs += [("".join(rnd.choices("ABÉ", k=rnd.randint(1, 500))), "".join(rnd.choices("ABÉ", k=500))) for _ in range(12)]
+    pairs += [("".join(rnd.choices("ABCDEFGHIJ ", k=200)), "".join(rnd.choices("ABCDEFGHIJ ", k=n))) for n in (63, 90, 124, 125, 300)]
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(8)
+    got = df.select("a", "b", ft.common_subsequence(F.col("a"), F.col("b")).alias("n")).collect()
+    assert len(got) == len(pairs) and all(r.n == lcs(r.a, r.b) for r in got)
+
+
 def similar_by_loop(rows, threshold=75):
     gone = set()
     by_ean = {}

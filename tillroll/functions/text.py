@@ -62,8 +62,8 @@ BITS = 62
 def common_subsequence(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence."""
     by_bits = let(F.split(b, ""), lambda chars: _lcs_bits(a, chars))
-    by_table = let(F.split(b, ""), lambda chars: _lcs_table(a, chars))
-    return F.when(F.length(b) <= BITS, by_bits).otherwise(by_table)
+    by_words = let(F.split(b, ""), lambda chars: _lcs_words(a, chars))
+    return F.when(F.length(b) <= BITS, by_bits).otherwise(by_words)
 
 
 def _bit(j: Column) -> Column:
@@ -102,27 +102,44 @@ def _lcs_bits(a: Column, b_chars: Column) -> Column:
     return size - F.bit_count(left)
 
 
-def _lcs_table(a: Column, b_chars: Column) -> Column:
-    """One array per row of the table, for labels of any length."""
+def _lcs_words(a: Column, b_chars: Column) -> Column:
+    """As `_lcs_bits`, with the bits of a row in as many longs as `b` needs; sums carry from one to the next."""
     size = F.size(b_chars)
-    places = F.sequence(F.lit(1), size)
+    numbers = F.sequence(F.lit(0), F.ceil(size / BITS).cast("int") - 1)
+    nothing = F.transform(numbers, lambda _: F.lit(0).cast("long"))
 
-    def next_row(row: Column, ch: Column) -> Column:
+    def full(word: Column) -> Column:
+        return _bit(F.least(size - word * BITS, F.lit(BITS))) - 1
+
+    def places_of(ch: Column, word: Column) -> Column:
         return F.aggregate(
-            places,
-            F.array(F.lit(0)),
-            lambda done, j: F.concat(
-                done,
-                F.array(
-                    F.when(F.get(b_chars, j - 1) == ch, F.get(row, j - 1) + 1).otherwise(
-                        F.greatest(F.get(row, j), F.get(done, j - 1))
-                    )
-                ),
-            ),
+            F.sequence(F.lit(0), F.lit(BITS - 1)),
+            F.lit(0).cast("long"),
+            lambda bits, j: F.when(F.get(b_chars, word * BITS + j) == ch, bits + _bit(j)).otherwise(bits),
+        )
+
+    by_char = F.map_from_entries(
+        F.transform(
+            F.array_distinct(b_chars), lambda ch: F.struct(ch, F.transform(numbers, lambda w: places_of(ch, w)))
         )
+    )
+    hits = let(
+        by_char,
+        lambda found: F.transform(F.split(a, ""), lambda ch: F.coalesce(F.try_element_at(found, ch), nothing)),
+    )
+
+    def next_row(row: Column, hit: Column) -> Column:
+        def add(done: Column, word: Column) -> Column:
+            v, m = F.get(row, word), F.get(hit, word)
+            total = v + v.bitwiseAND(m) + done["carry"]
+            kept = total.bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(full(word))
+            return F.struct(F.concat(done["row"], F.array(kept)).alias("row"), F.shiftright(total, BITS).alias("carry"))
+
+        start = F.struct(F.array().cast("array<bigint>").alias("row"), F.lit(0).cast("long").alias("carry"))
+        return F.aggregate(numbers, start, add)["row"]
 
-    last = F.aggregate(F.split(a, ""), F.array_repeat(F.lit(0), size + 1), next_row)
-    return F.get(last, size)
+    last = F.aggregate(hits, F.transform(numbers, full), next_row)
+    return size - F.aggregate(last, F.lit(0), lambda n, v: n + F.bit_count(v))
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -153,8 +153,9 @@ def lcpn_classifier(
     model = fit(count_docs(train, code, label), tree_edges, cut=cut)
     tokens = stage(word_rows(distinct_labels(test, label).drop("n"), cut), "words")
     complete = descend(tokens, model).where(F.length("pred") == CODE_LENGTH)
-    first = test.groupBy(text_id(F.col(label)).alias("id")).agg(F.min_by(F.struct("*"), order_col).alias("__row"))
-    return complete.join(first, "id").select("__row.*", F.col("pred").alias("LCPN_PRED"))
+    first = test.groupBy(text_id(F.col(label)).alias("id")).agg(F.min(order_col).alias(order_col))
+    found = complete.join(first, "id").select(order_col, F.col("pred").alias("LCPN_PRED"))
+    return test.join(found, order_col).select(*test.columns, "LCPN_PRED")
 
 
 def backoff_prediction(threshold: float) -> Column:

@@ -83,19 +83,16 @@ def _by_subsequence(pairs, label, ean, standard, repairable, size) -> tuple[list
         F.filter(fe.subsequences(F.col(ean), size), lambda s: s != "0" * size)
     ).alias("__piece")
     broken = pairs.where(repairable)
-    offers = (
-        pairs.where(standard)
-        .join(broken.select(label).distinct(), label, "left_semi")
-        .select(label, F.struct("__first", F.col(ean).alias("__ean")).alias("__offer"), pieces)
-        .groupBy(label, "__piece")
-        .agg(F.min("__offer").alias("__offer"))
-    )
+    whole = pairs.where(standard).join(broken.select(label).distinct(), label, "left_semi")
+    offers = whole.select(label, "__first", pieces).groupBy(label, "__piece").agg(F.min("__first").alias("__first"))
+    # only the place of the offer is looked for; its barcode is fetched once per answer
     answers = (
         broken.select(label, ean, "__n", pieces)
         .join(offers, [label, "__piece"])
         .groupBy(label, ean)
-        .agg(F.min("__offer").alias("__offer"), F.max("__n").alias("__n"))
-        .select(label, ean, F.col("__offer.__ean").alias("__found"), "__n")
+        .agg(F.min("__first").alias("__first"), F.max("__n").alias("__n"))
+        .join(whole.select(label, "__first", F.col(ean).alias("__found")), [label, "__first"])
+        .select(label, ean, "__found", "__n")
     )
     return [label, ean], answers
 
