@@ -205,6 +205,9 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     )
 
 
-def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that the rules keep, with the columns of `docs`."""
-    return judge(docs, text_col, carry=tuple(docs.columns)).where("kept").select(*docs.columns)
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of `docs` that the rules keep, with the columns of `docs`, whatever their names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names))
+    judged = judge(docs.toDF(*names), of[text_col], of[lang_col], of[source_col], carry=tuple(names))
+    return judged.where("kept").select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))

@@ -25,8 +25,7 @@ def op2_secrets(spark, sf_dir):
     from tillroll.llm import secrets
 
     docs = table(spark, sf_dir, "documents")
-    model = secrets.train(*secrets.labelled_candidates(docs))
-    return secrets.find_secrets(docs, model)
+    return secrets.find_secrets(docs, secrets.trained(docs))
 
 
 @query
