@@ -12,7 +12,7 @@ NAMES = (
     "__key", "__text", "__", "__masked", "key", "row", "c0", "c1", "fingerprint", "query", "shard", "masked", "k", "n", "size",
     "source_key", "draw", "__carry_0", "__rank", "__c0", "__copies", "tail", "checks", "id", "found", "kept", "window", "h",
 )
-LONG = "plain words of some length that say little and go on for a while " * 8
+LONG = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(70))
 
 
 @pytest.fixture(scope="module")
