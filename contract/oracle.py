@@ -800,6 +800,14 @@ report(
       LEFT JOIN named b ON b.level = 'poste' AND b.code = p LEFT JOIN named g ON g.level = 'groupe' AND g.code = left(t, 4)""",
     PAIRS,
 )
+report(
+    "confusion_pairs",
+    """SELECT t AS "true", p AS pred, n::DOUBLE AS nb, round(n / sum(n) OVER (PARTITION BY t), 6)::DOUBLE AS share,
+      a.description AS desc_true, b.description AS desc_pred, left(t, 4) AS true_short, g.description AS desc_groupe
+    FROM pairs LEFT JOIN named a ON a.level = 'poste' AND a.code = t
+      LEFT JOIN named b ON b.level = 'poste' AND b.code = p LEFT JOIN named g ON g.level = 'groupe' AND g.code = left(t, 4)""",
+    PAIRS,
+)
 report("overall_accuracy", "SELECT round(sum(NB_CORRECT_PRED) / sum(NB_OCCURENCE), 6) AS accuracy FROM accuracy", ACCURACY)
 TOP = "SELECT COICOP, COICOP_DESC, NB_OCCURENCE, FREQ_CORRECT_PRED FROM accuracy WHERE CATEGORY = "
 report("top_codes", TOP + "'Poste' ORDER BY NB_OCCURENCE DESC, COICOP LIMIT 10", ACCURACY)

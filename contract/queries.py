@@ -650,6 +650,11 @@ def confusion_matrix(spark, sf):
     return reports.confusion_matrix(_named(spark, sf), view(spark, sf, "nomen"))
 
 
+@query
+def confusion_pairs(spark, sf):
+    return reports.confusion_pairs(_named(spark, sf), view(spark, sf, "nomen"))
+
+
 @query
 def overall_accuracy(spark, sf):
     return reports.overall_accuracy(accuracy_table(spark, sf))

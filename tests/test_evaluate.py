@@ -70,6 +70,13 @@ def test_confusion_matrix(three, names):
     assert rows[0].desc_groupe == "01.1"
 
 
+def test_confusion_pairs(three, names):
+    rows = reports.confusion_pairs(three, names).collect()
+    assert [(r.true, r.pred, r.nb, r.share) for r in rows] == [(A, A, 1.0, 0.5), (A, B, 1.0, 0.5), (B, C, 1.0, 1.0)]
+    with pytest.raises(ValueError):
+        reports.confusion_matrix(three, names, most_cells=5)
+
+
 def test_sankey(three, names):
     table = reports.sankey_table(three, names.where("code != '02.1.1.1.1'"))
     flows = {(r.source, r.target): r.value for r in reports.sankey_flows(table).collect()}

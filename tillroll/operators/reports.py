@@ -66,37 +66,68 @@ def sankey_table(
     )
 
 
-# Number of slices the list of predicted codes is dealt into for the dense matrix.
-SLICES = 16
+# Predicted codes in one slice of the dense matrix, and the most cells that it may have by default.
+SLICE_CODES = 256
+MOST_CELLS = 100_000_000
 
 
-def confusion_matrix(
+def _observed(df: DataFrame, true: str, pred: str) -> DataFrame:
+    """(true, pred, n) of rows with a whole true code and a prediction. Written out: it is as small as the code list."""
+    complete = df.where((F.length(true) == CODE_LENGTH) & F.col(pred).isNotNull())
+    return stage(pair_counts(complete, true, pred).select("true", "pred", "n"), "pairs")
+
+
+def _described_cells(cells: DataFrame, nomenclature: DataFrame) -> DataFrame:
+    cells = cells.withColumn("true_short", F.substring("true", 1, 4))
+    for code, out, level in (
+        ("true", "desc_true", "poste"),
+        ("pred", "desc_pred", "poste"),
+        ("true_short", "desc_groupe", "groupe"),
+    ):
+        table = descriptions(nomenclature, level).toDF(code, out)
+        cells = cells.join(table, code, "left")
+    return cells
+
+
+def confusion_pairs(
     df: DataFrame, nomenclature: DataFrame, true: str = "TRUE_COICOP", pred: str = "COICOP_PREDICTED"
+) -> DataFrame:
+    """The cells of the confusion matrix that are not 0, with the share of the true code's rows and descriptions."""
+    pairs = _observed(df, true, pred)
+    rows = pairs.groupBy("true").agg(F.sum("n").alias("__rows"))
+    cells = pairs.join(rows, "true").select(
+        "true", "pred", F.col("n").cast("double").alias("nb"), F.round(F.col("n") / F.col("__rows"), 6).alias("share")
+    )
+    return _described_cells(cells, nomenclature).orderBy("true", "pred").select(
+        "true", "pred", "nb", "share", "desc_true", "desc_pred", "true_short", "desc_groupe"
+    )
+
+
+def confusion_matrix(
+    df: DataFrame,
+    nomenclature: DataFrame,
+    true: str = "TRUE_COICOP",
+    pred: str = "COICOP_PREDICTED",
+    most_cells: int | None = MOST_CELLS,
 ) -> DataFrame:
     """Rows per (true, predicted) for every combination of observed codes, 0 where none, with descriptions.
 
-    The result has one row per combination, so the two code lists have to meet.
-    Each predicted code belongs to one slice, each true code is sent to all
-    slices, and they meet in an equi-join on the slice.
+    The result has one row per combination, so the two code lists have to meet: each predicted code belongs to
+    one slice of about `SLICE_CODES` codes, each true code is sent to all slices, and they meet in an equi-join
+    on the slice. More than `most_cells` combinations are refused; `confusion_pairs` has no such bound.
     """
-    complete = df.where((F.length(true) == CODE_LENGTH) & F.col(pred).isNotNull())
-    pairs = stage(pair_counts(complete, true, pred).select("true", "pred", "n"), "pairs")
+    pairs = _observed(df, true, pred)
+    size = pairs.agg(F.countDistinct("true").alias("t"), F.countDistinct("pred").alias("p")).first()
+    if most_cells is not None and size["t"] * size["p"] > most_cells:
+        raise ValueError(f"{size['t']} x {size['p']} codes make more than {most_cells} cells")
+    slices = max(1, -(-size["p"] // SLICE_CODES))
     trues = pairs.select("true").distinct()
     preds = pairs.select("pred").distinct()
-    cells = trues.select("true", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("__slice")).join(
-        preds.select("pred", F.pmod(F.hash("pred"), F.lit(SLICES)).alias("__slice")), "__slice"
-    )
-    full = cells.join(pairs, ["true", "pred"], "left").select(
-        "true", "pred", F.coalesce("n", F.lit(0)).cast("double").alias("nb"), F.substring("true", 1, 4).alias("true_short")
+    cells = trues.select("true", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("__slice")).join(
+        preds.select("pred", F.pmod(F.hash("pred"), F.lit(slices)).alias("__slice")), "__slice"
     )
-    for code, out, level in (
-        ("true", "desc_true", "poste"),
-        ("pred", "desc_pred", "poste"),
-        ("true_short", "desc_groupe", "groupe"),
-    ):
-        table = descriptions(nomenclature, level).toDF(code, out)
-        full = full.join(table, code, "left")
-    return full.orderBy("true", "pred").select(
+    full = cells.join(pairs, ["true", "pred"], "left").select("true", "pred", F.coalesce("n", F.lit(0)).cast("double").alias("nb"))
+    return _described_cells(full, nomenclature).orderBy("true", "pred").select(
         "true", "pred", "nb", "desc_true", "desc_pred", "true_short", "desc_groupe"
     )
 
