@@ -557,6 +557,7 @@ add(
     FROM parted JOIN pred ON text = label LEFT JOIN nomen n ON n.level = 'poste' AND n.code = child WHERE test""",
     *FLAT,
 )
+ORACLE["kept_model"] = ORACLE["flat_classifier"]
 add(
     "flat_classifier_unseen_labels",
     "coded_labels",

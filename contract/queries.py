@@ -27,6 +27,7 @@ from tillroll.operators import (
     reports,
     split,
     stats,
+    store,
     tune,
 )
 from tillroll.plans import flow
@@ -398,6 +399,12 @@ def cleaning_report(spark, sf):
     return labels.cleaning_report(rows, view(spark, sf, "tokens_base"))
 
 
+@query
+def stem_labels(spark, sf):
+    """French stems of every word."""
+    return labels.stem_labels(view(spark, sf, "raw_labels"), "label", "row_id")
+
+
 # hierarchy
 
 
@@ -467,6 +474,15 @@ def flat_classifier(spark, sf):
     return classify.flat_classifier(*_split(spark, sf), "true_coicop", "label", "row_id")
 
 
+@query
+def kept_model(spark, sf):
+    """The model is kept in a folder and loaded again before it predicts."""
+    train, test = _split(spark, sf)
+    path = _path(spark, "model")
+    store.save_model(classify.fit_flat(train, "true_coicop", "label"), path, buckets=8)
+    return classify.predict_flat(test, store.load_model(spark, path), "label", "row_id")
+
+
 def _unseen(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Split on the label, so that no test label occurs in training."""
     return split.train_test_split(view(spark, sf, "coded_labels"), "label")

@@ -14,8 +14,8 @@ def con():
     return connect(SF)
 
 
-def test_only_trained_weights_have_no_check_sql():
-    trained = {"grid_search", "best_setting", "linear_classifier", "linear_tree_classifier", "embedding_classifier"}
+def test_only_trained_weights_and_stems_have_no_check_sql():
+    trained = {"grid_search", "best_setting", "linear_classifier", "linear_tree_classifier", "embedding_classifier", "stem_labels"}
     assert set(QUERIES) - set(ORACLE) == trained
     assert set(ORACLE) <= set(QUERIES)
 

@@ -98,14 +98,19 @@ def predict_distinct(
     return copy_to_rows(df, described, label, order_col)
 
 
+def predict_flat(test: DataFrame, model: Model, label: str, order_col: str = "ROW_ID") -> DataFrame:
+    """Test rows with FLAT_PRED and CONFIDENCE of a model that `fit_flat` made."""
+    answers = predict(at_root(distinct_labels(test, label), model.cut), model).select(
+        "id", "n", F.col("pred").alias("FLAT_PRED"), F.col("confidence").alias("CONFIDENCE")
+    )
+    return copy_to_rows(test, answers, label, order_col)
+
+
 def flat_classifier(
     train: DataFrame, test: DataFrame, code: str, label: str, order_col: str = "ROW_ID", cut: Cut = words
 ) -> DataFrame:
     """Test rows with FLAT_PRED and CONFIDENCE, from the features that `cut` makes of a label."""
-    answers = predict(at_root(distinct_labels(test, label), cut), fit_flat(train, code, label, cut)).select(
-        "id", "n", F.col("pred").alias("FLAT_PRED"), F.col("confidence").alias("CONFIDENCE")
-    )
-    return copy_to_rows(test, answers, label, order_col)
+    return predict_flat(test, fit_flat(train, code, label, cut), label, order_col)
 
 
 def lcpn_training_sets(df: DataFrame, code: str, label: str) -> DataFrame:
