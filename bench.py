@@ -40,6 +40,9 @@ HEADLINE = (
     "accuracy_table",
     "sankey_table",
     "confusion_matrix",
+    "confusion_pairs",
+    "kept_model",
+    "stem_labels",
 )
 
 
