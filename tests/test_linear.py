@@ -128,8 +128,8 @@ def test_flat_and_tree_predictions(rows, spark):
     assert set(flat) == set(tree) == {1, 2, 3, 4, 6, 7}
     for i, code in ((1, CODES[0]), (2, CODES[3]), (3, CODES[1]), (4, CODES[2]), (7, CODES[3])):
         assert flat[i]["FLAT_PRED"] == code and 0 < flat[i]["CONFIDENCE"] < 1
-        assert tree[i]["HICLASS_PRED"] == code
-    assert flat[6]["FLAT_PRED"] in CODES and tree[6]["HICLASS_PRED"] in CODES
+        assert tree[i]["TREE_PRED"] == code
+    assert flat[6]["FLAT_PRED"] in CODES and tree[6]["TREE_PRED"] in CODES
 
 
 def test_ways_of_large_tables(rows, no_broadcast):

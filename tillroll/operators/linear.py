@@ -374,11 +374,11 @@ def linear_tree_classifier(
     loss: str = "squared_hinge",
     rounds: int = 10,
 ) -> DataFrame:
-    """Test rows with HICLASS_PRED: from the root of the code tree to the child that its node's weights prefer."""
+    """Test rows with TREE_PRED: from the root of the code tree to the child that its node's weights prefer."""
     labels = distinct_labels(test, label)
     docs = add_texts(count_texts(train, code, label), labels)
     model = fit(docs, [Spec(0, 0, *ngram, max_df, c, loss)], tree_edges, rounds)
     items = labels.select(F.lit(0).alias("model"), "id")
     paths = descend(items, len(LEVELS), lambda at: predict(at, model))
-    answers = labels.select("id", "n").join(paths.select("id", F.col("pred").alias("HICLASS_PRED")), "id")
+    answers = labels.select("id", "n").join(paths.select("id", F.col("pred").alias("TREE_PRED")), "id")
     return copy_to_rows(test, answers, label, order_col)
