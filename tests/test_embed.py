@@ -77,3 +77,15 @@ def test_nothing_to_learn_from(spark):
     got = embed.embedding_classifier(one, test, "code", "label", "row_id", dim=4, passes=1, epochs=1).collect()
     assert [(r["FLAT_PRED"], r["CONFIDENCE"]) for r in got] == [("c", 1.0)]
     assert embed.predict(classify.distinct_labels(test.where(F.lit(False)), "label"), embed.fit(linear.count_texts(one, "code", "label"), dim=4, passes=1, epochs=1)).collect() == []
+
+
+def test_vectors_too_large_to_broadcast(spark, no_broadcast, monkeypatch):
+    monkeypatch.setattr(embed, "PART_TEXTS", 60)
+    schema = "row_id long, label string, code string"
+    train = spark.createDataFrame(rows(1, 100, ENDS[:6]), schema)
+    test = spark.createDataFrame(rows(2, 20, ENDS[6:]), schema)
+    settings = dict(dim=4, passes=2, epochs=1, buckets=500)
+    large = embed.embedding_classifier(train, test, "code", "label", "row_id", **settings).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    small = embed.embedding_classifier(train, test, "code", "label", "row_id", **settings).collect()
+    assert len(large) == 20 and sorted(map(str, large)) == sorted(map(str, small))

@@ -30,6 +30,24 @@ def test_all_rows_get_their_answer(rows, answers, no_broadcast):
     check(skew.join_weighted(rows, answers, ["key"], ["id"], "__n"))
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_names_of_the_join_itself(spark, no_broadcast, monkeypatch, large):
+    """Keys and values that are called like columns the join makes."""
+    if large:
+        monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    bucket = F.when(F.col("id") % 3 > 0, F.when(F.col("id") % 3 == 1, F.col("id") % 500).otherwise(-1))
+    rows = spark.range(3_000).select("id", bucket.alias("bucket"), F.lit("s").alias("salt"), F.lit(1).alias("hit"))
+    counts = skew.key_counts(rows, ["bucket", "salt"]).where("bucket != 7")
+    table = counts.select("bucket", "salt", "__n", (F.col("bucket") * 2).alias("k_bucket"), F.lit("v").alias("bucket_"))
+    joined = skew.join_weighted(rows, table, ["bucket", "salt"], ["id"], "__n")
+    assert joined.columns == ["id", "bucket", "salt", "hit", "k_bucket", "bucket_"]
+    got = joined.collect()
+    assert len(got) == 3_000
+    for r in got:
+        want = None if r["bucket"] in (None, 7) else 2 * r["bucket"]
+        assert r["k_bucket"] == want and r["bucket_"] == (None if want is None else "v")
+
+
 def test_lookup_in_a_large_table(rows, answers, no_broadcast):
     check(skew.join_lookup(rows, answers.drop("__n"), ["key"], ["id"]))
 

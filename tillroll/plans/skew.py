@@ -108,22 +108,24 @@ def join_answers(
     Answers of heavy keys travel by broadcast, or salted where they are too large for that. The other
     keys are joined by shuffle; rows of heavy keys and rows with a null key take part in that shuffle
     under a 64-bit hash of `spread_by`, so no partition receives a whole heavy key.
+
+    Keys (`k`) and values (`v`) have prefixes of their own, so that they may be called like the columns made here.
     """
     keys = list(keys)
     values = [c for c in answers.columns if c not in keys]
     heavy_side = heavy.select(
-        *[F.col(k).alias(f"__h_{k}") for k in keys],
+        *[F.col(k).alias(f"__h_k_{k}") for k in keys],
         F.struct(*values, F.lit(True).alias("__hit")).alias("__hot"),
     )
     if size_in_bytes(heavy) <= BROADCAST_BYTES:
-        met = rows.join(F.broadcast(heavy_side), _all_equal(rows, heavy_side, keys, "__h_"), "left")
+        met = rows.join(F.broadcast(heavy_side), _all_equal(rows, heavy_side, keys, "__h_k_"), "left")
     else:
         salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
         heavy_side = heavy_side.withColumn("__h_salt", F.explode(salts))
         salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
-        on = _all_equal(salted, heavy_side, keys, "__h_") & (salted["__salt"] == heavy_side["__h_salt"])
+        on = _all_equal(salted, heavy_side, keys, "__h_k_") & (salted["__salt"] == heavy_side["__h_salt"])
         met = salted.join(heavy_side, on, "left").drop("__salt", "__h_salt")
-    met = met.drop(*[f"__h_{k}" for k in keys])
+    met = met.drop(*[f"__h_k_{k}" for k in keys])
 
     answered = F.col("__hot").isNotNull()
     idle = answered
@@ -132,24 +134,24 @@ def join_answers(
     bucket = F.xxhash64(*spread_by)
     met = met.select(
         "*",
-        *[F.when(~answered, F.col(k)).alias(f"__l_{k}") for k in keys],
+        *[F.when(~answered, F.col(k)).alias(f"__l_k_{k}") for k in keys],
         F.when(idle, bucket).otherwise(F.lit(0).cast("long")).alias("__l_bucket"),
     )
     cold_side = answers.dropna(subset=keys).select(
-        *[F.col(k).alias(f"__c_{k}") for k in keys],
+        *[F.col(k).alias(f"__c_k_{k}") for k in keys],
         # always 0, but not a literal: it has to stay a join key
         F.pmod(F.xxhash64(*keys), F.lit(1)).cast("long").alias("__c_bucket"),
-        *[F.col(v).alias(f"__c_{v}") for v in values],
+        *[F.col(v).alias(f"__c_v_{v}") for v in values],
     )
     on = F.col("__l_bucket") == F.col("__c_bucket")
     for k in keys:
-        on = on & (F.col(f"__l_{k}") == F.col(f"__c_{k}"))
+        on = on & (F.col(f"__l_k_{k}") == F.col(f"__c_k_{k}"))
     joined = met.join(cold_side, on, "left")
     return joined.select(
         *rows.columns,
         *[
             F.when(F.col("__hot").isNotNull(), F.col(f"__hot.{v}"))
-            .otherwise(F.col(f"__c_{v}"))
+            .otherwise(F.col(f"__c_v_{v}"))
             .alias(v)
             for v in values
         ],
