@@ -148,3 +148,38 @@ def test_nothing_to_learn_from(spark):
     assert [r["FLAT_PRED"] for r in linear.linear_classifier(empty, test, "code", "label", "row_id", rounds=2).collect()] == [None]
     with pytest.raises(ValueError):
         linear.fit(linear.count_texts(empty, "code", "label"), [linear.Spec(0, 0, 1, 1, 1.0, 1.0, "cubic")], flat_edges)
+
+
+def broadcast_parts(df):
+    """Text of the plan below each broadcast."""
+    lines, out = df._jdf.queryExecution().executedPlan().toString().split("\n"), []
+    for at, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            deep = line.index("BroadcastExchange")
+            more = [x for x in lines[at + 1 :]]
+            stop = next((i for i, x in enumerate(more) if len(x) - len(x.lstrip(" :+-")) <= deep), len(more))
+            out.append("\n".join(more[:stop]))
+    return out
+
+
+def test_weights_of_frequent_terms_are_not_broadcast(spark, monkeypatch):
+    """The files of weights are small, the weights are not: 90 codes, all weights zero before the first round."""
+    rows = [(i, f"word{i % 90} common w{i}", f"c{i % 90}") for i in range(360)]
+    train = spark.createDataFrame(rows, "row_id long, label string, code string")
+    docs = linear.count_texts(train, "code", "label")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "200000")
+    try:
+        trainer = linear.Trainer(docs, [linear.Spec(0, 0, 1, 1, 1.0)], flat_edges)
+        trainer.step()
+        below = broadcast_parts(trainer._scored())
+        large = {(r["parent"], r["block"], r["term"]): r["ws"] for r in trainer.weights.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert below and not any("ws#" in b for b in below)
+    trainer = linear.Trainer(docs, [linear.Spec(0, 0, 1, 1, 1.0)], flat_edges)
+    trainer.step()
+    small = {(r["parent"], r["block"], r["term"]): r["ws"] for r in trainer.weights.collect()}
+    assert large.keys() == small.keys()
+    assert all(large[k] == pytest.approx(small[k], abs=1e-9) for k in large)

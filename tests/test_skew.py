@@ -91,6 +91,26 @@ def test_heavy_key_without_answer_is_split(spark, rows, no_broadcast, monkeypatc
     assert sum(sizes) == 30_000 and max(sizes) < 2 * 30_000 / len(sizes)
 
 
+@pytest.mark.parametrize("answered", [False, True])
+def test_heavy_key_is_dealt_without_broadcast_of_its_answer(spark, rows, answers, no_broadcast, answered):
+    counts = skew.key_counts(rows, ["key"])
+    heavy = skew.heavy_parts(counts, "__n")
+    parts = {r["key"]: r["__parts"] for r in heavy.collect()}
+    assert parts["hot"] == 5000 and sum(parts.values()) <= skew.HEAVY_PARTS + len(parts)
+    table = answers if answered else answers.where("key != 'hot'")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = skew.join_dealt(rows, table.drop("__n"), ["key"], ["id"], heavy)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert joined.columns == ["id", "key", "answer"]
+    missing = ["k7"] if answered else ["k7", "hot"]
+    want = F.when(~F.col("key").isin(missing), F.concat(F.lit("for "), "key"))
+    assert joined.where(~F.col("answer").eqNullSafe(want)).count() == 0
+    assert sum(sizes) == 30_000 and max(sizes) < 2 * 30_000 / len(sizes)
+
+
 def test_position_over_block_and_span_borders(spark):
     ids = sorted({*range(50), *[(1 << 20) * k + 3 for k in range(1, 30)], *[(1 << 40) * k for k in range(1, 9)], 1 << 41 | 5})
     df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(7)

@@ -22,7 +22,7 @@ from tillroll.functions.codes import LEVELS
 from tillroll.operators.bayes import Edges, count_texts, text_id
 from tillroll.operators.classify import ROOT, copy_to_rows, distinct_labels, flat_edges, tree_edges
 from tillroll.operators.features import terms_of
-from tillroll.plans.skew import fits_broadcast, heaviest, join_answers, join_staged, join_weighted
+from tillroll.plans.skew import heavy_parts, join_dealt, join_staged, join_weighted, key_counts
 from tillroll.session import stage
 
 # The term of the constant feature; no word is empty.
@@ -56,13 +56,14 @@ class Spec:
 class Linear:
     """`models`: (model, split, f, c, loss); `vectors`: (f, id, terms) of every text; `nodes`: (model, parent,
     children, rows), children in order; `weights`: (model, parent, block, term, ws, n), ws in the order of the
-    block's children; `width`: children of the largest block."""
+    block's children; `width`: children of the largest block; `large`: whether the weights are too many to broadcast."""
 
     models: DataFrame
     vectors: DataFrame
     nodes: DataFrame
     weights: DataFrame
     width: int
+    large: bool
 
 
 def add_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -181,18 +182,28 @@ def _sums(rows: DataFrame, keys: Sequence[str], factor: str, values: str, width:
     return rows.groupBy(*keys).agg(*each).select(*keys, places.alias(out))
 
 
-def _scores(rows: DataFrame, weights: DataFrame, width: int, heavy: DataFrame | None) -> DataFrame:
+def _scores(rows: DataFrame, weights: DataFrame, width: int, large: bool, heavy: DataFrame | None = None) -> DataFrame:
     """(model, parent, block, id, scores): a score per child, for rows (model, parent, block, id, terms) that have
-    a term with weights."""
+    a term with weights. `heavy`: frequent terms, where they have been counted already."""
     keys = [*BLOCK, "term"]
     pieces = rows.select(*BLOCK, "id", F.inline("terms"))
-    if heavy is None:
+    if not large:
         met = join_staged(pieces, weights, keys, ["id", "term"], "n")
     else:
-        met = join_answers(pieces, weights.drop("n"), keys, ["id", "term"], heavy)
+        if heavy is None:
+            heavy = stage(heavy_parts(stage(key_counts(pieces, keys), "counts"), "__n"), "frequent")
+        met = join_dealt(pieces, weights.drop("n"), keys, ["id", "term"], heavy)
     return _sums(met.where(F.col("ws").isNotNull()), [*BLOCK, "id"], "x", "ws", width, "scores")
 
 
+def _too_large(terms: DataFrame) -> bool:
+    """Whether the weights of `terms` (term, k, ...) are beyond what Catalyst may broadcast. Their files say little:
+    weights that are zero take next to no room in them."""
+    spark = terms.sparkSession
+    held = terms.agg(F.sum(8 * F.col("k") + F.octet_length("term") + 64)).first()[0] or 0
+    return held > spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def _spread(rows: DataFrame) -> DataFrame:
     """A written table in as many parts as there are cores at least: its rows are unfolded in every round."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
@@ -211,7 +222,8 @@ class Trainer:
         labelled, self.nodes = training_rows(docs, specs, edges)
         self.width = min(self.nodes.agg(F.coalesce(F.max(F.size("children")), F.lit(1))).first()[0], WIDE)
         keyed = _blocks(labelled).join(F.broadcast(self.models), "model")
-        self.examples = _spread(stage(keyed.join(self.vectors, ["f", "id"]), "examples"))
+        # many rows hold the same children, so files of rows with children are much smaller than what they hold
+        self.examples = _spread(stage(keyed.join(self.vectors.hint("merge"), ["f", "id"]), "examples"))
         steep = F.col("c") * F.when(F.col("loss") == "squared_hinge", CURVATURE["squared_hinge"]).otherwise(CURVATURE["logistic"])
         rows = F.aggregate(F.map_values("labels"), F.lit(0).cast("long"), lambda a, n: a + n)
         reach = F.aggregate("terms", F.lit(0.0), lambda a, t: a + F.abs(t["x"]))
@@ -224,18 +236,16 @@ class Trainer:
         self.terms = stage(terms, "curvature")
         zeros = F.array_repeat(F.lit(0.0), F.col("k"))
         self.weights = stage(self.terms.select(*BLOCK, "term", zeros.alias("ws"), "n"), "weights")
+        self.large = _too_large(self.terms)
         self._frequent = None
-        if not fits_broadcast(self.weights):
+        if self.large:
             # which terms are frequent does not change from round to round; counted once
             counts = self.terms.select(*BLOCK, "term", F.col("n").alias("__n"))
-            self._frequent = stage(heaviest(counts, "__n"), "frequent")
+            self._frequent = stage(heavy_parts(counts, "__n"), "frequent")
 
     def _scored(self) -> DataFrame:
         """Examples with `parts`, the slope and the loss of each child."""
-        heavy = None
-        if self._frequent is not None:
-            heavy = stage(self.weights.drop("n").join(F.broadcast(self._frequent), [*BLOCK, "term"], "left_semi"), "heavy")
-        scores = _scores(self.examples, self.weights, self.width, heavy)
+        scores = _scores(self.examples, self.weights, self.width, self.large, self._frequent)
         rows = self.examples.join(scores, [*BLOCK, "id"], "left")
         everything = F.aggregate(F.map_values("labels"), F.lit(0).cast("long"), lambda a, n: a + n)
 
@@ -254,7 +264,8 @@ class Trainer:
         slopes = self._scored().select(*BLOCK, "terms", F.col("parts.slope").alias("slopes"))
         pieces = slopes.where(F.exists("slopes", lambda d: d != 0)).select(*BLOCK, "slopes", F.inline("terms"))
         found = _sums(pieces, keys, "x", "slopes", self.width, "gs")
-        moved = self.weights.join(self.terms.drop("n", "k"), keys).join(found, keys, "left")
+        terms = self.terms.drop("n", "k")
+        moved = self.weights.join(terms.hint("merge") if self.large else terms, keys).join(found, keys, "left")
         ws = F.transform("ws", lambda w, i: w - (w + F.coalesce(F.get("gs", i), F.lit(0.0))) / F.col("curvature"))
         self.weights = stage(moved.select(*keys, ws.alias("ws"), "n"), "weights")
 
@@ -266,7 +277,7 @@ class Trainer:
         return losses.join(sizes, "model").select("model", (F.col("losses") + F.col("size") / 2).alias("objective"))
 
     def fitted(self) -> Linear:
-        return Linear(self.models, self.vectors, self.nodes, self.weights, self.width)
+        return Linear(self.models, self.vectors, self.nodes, self.weights, self.width, self.large)
 
 
 def fit(docs: DataFrame, specs: Sequence[Spec], edges: Edges, rounds: int = 10) -> Linear:
@@ -289,9 +300,9 @@ def predict(items: DataFrame, model: Linear) -> DataFrame:
     """
     at_node = join_staged(items, model.nodes, ["model", "parent"], ["id"], "rows")
     at_node = at_node.join(F.broadcast(model.models.select("model", "f", "loss")), "model", "left")
-    vectors = at_node.where(F.size("children") > 1).join(model.vectors, ["f", "id"])
+    vectors = at_node.where(F.size("children") > 1).join(model.vectors.hint("merge"), ["f", "id"])
     open_rows = _blocks(vectors.select("model", "parent", "id", "children", "terms"))
-    scores = _scores(open_rows, model.weights, model.width, None)
+    scores = _scores(open_rows, model.weights, model.width, model.large)
     # a row per text again, blocks in order
     whole = scores.groupBy("model", "parent", "id").agg(F.array_sort(F.collect_list(F.struct("block", "scores"))).alias("b"))
     whole = whole.select("model", "parent", "id", F.flatten(F.col("b.scores")).alias("scores"))
@@ -354,7 +365,7 @@ def linear_classifier(
 
     Fitted on counted distinct rows; each distinct label is predicted once.
     """
-    labels = distinct_labels(test, label)
+    labels = stage(distinct_labels(test, label), "labels")
     docs = add_texts(count_texts(train, code, label), labels)
     model = fit(docs, [Spec(0, 0, *ngram, max_df, c, loss)], flat_edges, rounds)
     items = labels.select(F.lit(0).alias("model"), F.lit(ROOT).alias("parent"), "id")
@@ -375,7 +386,7 @@ def linear_tree_classifier(
     rounds: int = 10,
 ) -> DataFrame:
     """Test rows with TREE_PRED: from the root of the code tree to the child that its node's weights prefer."""
-    labels = distinct_labels(test, label)
+    labels = stage(distinct_labels(test, label), "labels")
     docs = add_texts(count_texts(train, code, label), labels)
     model = fit(docs, [Spec(0, 0, *ngram, max_df, c, loss)], tree_edges, rounds)
     items = labels.select(F.lit(0).alias("model"), "id")

@@ -158,6 +158,47 @@ def join_answers(
     )
 
 
+def heavy_parts(counted: DataFrame, weight: str) -> DataFrame:
+    """The heavy keys of `counted` with `__parts`, the number of parts of 1/HEAVY_PARTS of all rows that each makes up.
+    So there are at most HEAVY_PARTS parts more than keys."""
+    total = counted.agg(F.sum(weight)).scalar()
+    heavy = counted.where(F.col(weight) * HEAVY_PARTS > total)
+    return heavy.withColumn("__parts", F.ceil(F.col(weight) * HEAVY_PARTS / total).cast("int")).drop(weight)
+
+
+def join_dealt(
+    rows: DataFrame, answers: DataFrame, keys: Sequence[str], spread_by: Sequence[str], heavy: DataFrame
+) -> DataFrame:
+    """Left join of `rows` to wide `answers`, which has one row per key; `heavy` are keys with their `__parts`.
+
+    Only the heavy keys are broadcast, not their answers: the rows of such a key are dealt over its parts by a
+    64-bit hash of `spread_by`, its answer is copied to each part, and the join is one by shuffle. Rows with a
+    null key are dealt out alike. Whatever the size of the files, the answers are not broadcast.
+    """
+    keys = list(keys)
+    values = [c for c in answers.columns if c not in keys]
+    named = heavy.select(*[F.col(k).alias(f"__h_k_{k}") for k in keys], F.col("__parts").alias("__h_parts"))
+
+    def with_parts(table: DataFrame) -> DataFrame:
+        met = table.join(F.broadcast(named), _all_equal(table, named, keys, "__h_k_"), "left")
+        return met.select(*table.columns, F.coalesce("__h_parts", F.lit(1)).alias("__parts"))
+
+    idle = F.lit(False)
+    for k in keys:
+        idle = idle | F.col(k).isNull()
+    bucket = F.xxhash64(*spread_by)
+    part = F.when(idle, bucket).otherwise(F.pmod(bucket, F.col("__parts").cast("long")))
+    asked = with_parts(rows).withColumn("__l_part", part).drop("__parts")
+    told = with_parts(answers.dropna(subset=keys)).select(
+        *[F.col(k).alias(f"__c_k_{k}") for k in keys],
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts").cast("long") - 1)).alias("__c_part"),
+        *[F.col(v).alias(f"__c_v_{v}") for v in values],
+    )
+    on = _all_equal(asked, told, keys, "__c_k_") & (asked["__l_part"] == told["__c_part"])
+    joined = asked.join(told.hint("merge"), on, "left")
+    return joined.select(*rows.columns, *[F.col(f"__c_v_{v}").alias(v) for v in values])
+
+
 def _all_equal(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
     on = F.lit(True)
     for k in keys:
