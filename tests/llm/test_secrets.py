@@ -146,3 +146,21 @@ def test_all_of_a_long_candidate_is_read():
         line = value[:at] + b"Zq8xW1kP0vT7nB3mJ6sD9fG2hL5yR4cA8eU" + value[at:] + b"1"
         data, offsets = np.frombuffer(line, np.uint8), np.array([0, len(line)])
         assert net.finds(data, offsets, np.array([0]), np.array([len(line)])).all()
+
+
+def test_the_network_learns_from_all_candidates(spark, monkeypatch):
+    """Every different candidate of 5,000 documents (one of them without an id) comes to the training or the calibration."""
+    rng = np.random.default_rng(5)
+    values = ["".join(rng.choice(list("0123agzAZ"), 30)) + "1a2b3" for _ in range(5000)]
+    rows = [(i or None, f"see {v} or token={v}" if i % 2 else f"see {v}", *[None] * 5) for i, v in enumerate(values)]
+    docs = cases.frame(spark, rows * 2)
+    candidates = secrets.every_candidate(docs)
+    assert candidates.where("n = 2").count() == candidates.count() == 10_000
+    seen = []
+    taught, held = secrets._taught, secrets._scores_held
+    monkeypatch.setattr(secrets, "_taught", lambda net, c, *rest: seen.append(c.count()) or taught(net, c, *rest))
+    monkeypatch.setattr(secrets, "_scores_held", lambda net, c: seen.append(c.count()) or held(net, c))
+    nets = [secrets.trained(docs) for _ in range(2)]
+    assert seen[0] == seen[1] and seen[1] + seen[2] == 10_000
+    assert (nets[0].kernel == nets[1].kernel).all() and nets[0].threshold == nets[1].threshold
+    assert not (nets[0].kernel == secrets.train(*secrets.generated_candidates()).kernel).all()

@@ -3,18 +3,20 @@
 A candidate is a run of `[A-Za-z0-9+/_.=-]` with enough characters, digits and
 letters (parameters of `candidates`). The network sees all its characters, in blocks,
 and those around each block, as classes; a candidate scores as its best block. It is
-trained on candidates of the documents, labelled by the base patterns, and on a generated table of labelled lines
-(`findings`), so that it always has findings and others to learn from. Its scores are
-calibrated on a part held back, and the threshold is the highest one that still
-finds the wanted share of the findings held back.
+trained on a generated table of labelled lines (`findings`), so that it always has findings and others to learn
+from, and then on all candidates of the documents, labelled by the base patterns, in parts whose networks are
+averaged. Its scores are calibrated on all that was held back of both, and the threshold is the highest one
+that still finds the wanted share of the findings held back.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ from tillroll.llm import findings
 from tillroll.llm import spans as sp
 from tillroll.llm.arrays import CodePoints, byte_table, document_of, runs, sums
 from tillroll.llm.rowwise import with_text_columns
+from tillroll.session import stage
 
 # The patterns of the base findings and their least lengths.
 ASSIGN = re.compile(
@@ -189,59 +192,62 @@ def train(x: np.ndarray, y: np.ndarray, recall: float = 0.98, steps: int = 400,
     )
     xt, yt = x[~held], y[~held].astype(np.float32)
     sides = [np.flatnonzero(yt == v) for v in (0, 1)]
-    parameters = [net.kernel, net.bias, net.weight, np.zeros(1, np.float32)]
+    picks = (np.concatenate([rng.choice(side, 32) for side in sides]) for _ in range(steps))
+    _descend(net, ((xt[pick], yt[pick]) for pick in picks))
+    _calibrate(net, x[held], y[held].astype(float), recall)
+    return net
+
+
+def _descend(net: CharacterNetwork, batches: Iterable[tuple[np.ndarray, np.ndarray]], rate: float = 0.02) -> None:
+    """A step of gradient descent with moments for each batch."""
+    parameters = [net.kernel, net.bias, net.weight, np.full(1, net.offset, np.float32)]
     first = [np.zeros_like(p) for p in parameters]
     second = [np.zeros_like(p) for p in parameters]
-    for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(side, 32) for side in sides])
-        xb, yb = xt[pick], yt[pick]
+    for step, (xb, yb) in enumerate(batches, start=1):
         pooled, best = net._pooled(xb)
         p = 1 / (1 + np.exp(-np.clip(pooled @ net.weight + parameters[3][0], -30, 30)))
         d = (p - yb) / len(yb)
         d_pooled = d[:, None] * net.weight * (pooled > 0)
         d_kernel = np.zeros_like(net.kernel)
-        for k in range(taps):
+        for k in range(len(net.kernel)):
             ids = np.take_along_axis(xb, best + k, 1)  # rows x filters
-            np.add.at(d_kernel[k], (ids, np.arange(filters)[None, :]), d_pooled)
+            np.add.at(d_kernel[k], (ids, np.arange(len(net.bias))[None, :]), d_pooled)
         gradients = [d_kernel, d_pooled.sum(0), pooled.T @ d + 1e-4 * net.weight, np.array([d.sum()], np.float32)]
         for q, g, m, v in zip(parameters, gradients, first, second):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            q -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+            q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     net.offset = float(parameters[3][0])
-    _calibrate(net, x[held], y[held].astype(float), recall)
-    return net
 
 
 def _calibrate(net: CharacterNetwork, x: np.ndarray, y: np.ndarray, recall: float) -> None:
     """Logistic calibration on the part held back, then the highest threshold with the wanted recall."""
-    z = net.logits(x).astype(float)
+    _calibrate_scores(net, net.logits(x).astype(float), y, np.ones(len(y)), recall)
+
+
+def _calibrate_scores(net: CharacterNetwork, z: np.ndarray, y: np.ndarray, weight: np.ndarray, recall: float) -> None:
     a, b = 1.0, 0.0
-    goal = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    right, wrong = (weight * y).sum(), (weight * (1 - y)).sum()
+    goal = np.where(y == 1, (right + 1) / (right + 2), 1 / (wrong + 2))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        w = p * (1 - p) + 1e-6
-        g = np.array([((p - goal) * z).sum() + 1e-3 * (a - 1), (p - goal).sum()])
+        w, off = weight * (p * (1 - p) + 1e-6), weight * (p - goal)
+        g = np.array([(off * z).sum() + 1e-3 * (a - 1), off.sum()])
         h = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
         move = np.linalg.solve(h, g)
         a, b = a - move[0], b - move[1]
         if np.abs(move).max() < 1e-8:
             break
     net.slope, net.shift = float(max(a, 1e-3)), float(b)
-    found = np.sort(net.probabilities(x)[y == 1])
-    net.threshold = float(found[int(np.floor((1 - recall) * len(found)))])
+    found = 1 / (1 + np.exp(-np.clip(net.slope * z[y == 1] + net.shift, -30, 30)))
+    order = np.argsort(found, kind="stable")
+    below = np.cumsum(weight[y == 1][order])
+    net.threshold = float(found[order][np.searchsorted(below, (1 - recall) * below[-1], "right")])
 
 
-def labelled_candidates(
-    docs: DataFrame, text_col: str = "text", key: str = "doc_id", documents: int = 4000, rows: int = 6000
-) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of the blocks of candidates and whether a base pattern covers the candidate.
-
-    A sample of at most `documents` keys, chosen by hash, and at most `rows` candidates of them.
-    """
-    docs = docs.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
-    keys = docs.select("key").where(F.col("key").isNotNull()).orderBy(F.xxhash64("key"), "key").limit(documents)
-    some = docs.join(F.broadcast(keys), "key", "left_semi")
+def every_candidate(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row, n): each different block of a candidate of any document, as the byte that tells whether a base pattern
+    covers the candidate and the block's window, and how often it occurs."""
 
     def label(data, offsets):
         out = [[] for _ in range(len(offsets) - 1)]
@@ -259,12 +265,22 @@ def labelled_candidates(
         return [out]
 
     field = T.StructField("found", T.ArrayType(T.BinaryType()))
-    found = with_text_columns(some, label, [field], "text", ["key"]).select(F.explode("found").alias("row"))
-    got = found.orderBy(F.xxhash64("row"), "row").limit(rows).toPandas()["row"]
-    table = np.frombuffer(b"".join(bytes(r) for r in got), np.uint8).reshape(-1, WIDTH + 1)
+    found = with_text_columns(docs, label, [field], text_col, []).select(F.explode("found").alias("row"))
+    return found.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _table(rows: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and labels of `rows`."""
+    table = np.frombuffer(b"".join(bytes(r) for r in rows), np.uint8).reshape(-1, WIDTH + 1)
     return table[:, 1:], table[:, 0]
 
 
+def labelled_candidates(docs: DataFrame, text_col: str = "text", rows: int = 6000) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and labels of at most `rows` different candidates, to look at; `trained` learns from all."""
+    got = every_candidate(docs, text_col).orderBy(F.xxhash64("row"), "row").limit(rows).toPandas()["row"]
+    return _table(got)
+
+
 def generated_candidates(rows: int = 3000, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Windows and labels of the generated table of `rows` lines, in a mixed order."""
     lines = findings.labelled_lines(rows, seed)
@@ -277,15 +293,84 @@ def generated_candidates(rows: int = 3000, seed: int = 7) -> tuple[np.ndarray, n
     return windows(data, offsets, low, high)[order], np.array([n for *_, n in lines])[of][order]
 
 
-def trained(docs: DataFrame, text_col: str = "text", key: str = "doc_id") -> CharacterNetwork:
-    """The network from the candidates of `docs` and the generated table."""
-    x, y = labelled_candidates(docs, text_col, key)
-    more_x, more_y = generated_candidates()
-    # what a base pattern covers teaches nothing that the base does not find; it may not outweigh the rest
-    few = slice(0, len(more_y) // 4)
-    x, y = np.concatenate([more_x, x[few]]), np.concatenate([more_y, y[few]])
-    order = np.random.default_rng(1).permutation(len(y))
-    return train(x[order], y[order])
+def _numbers(net: CharacterNetwork) -> np.ndarray:
+    return np.concatenate([net.kernel.ravel(), net.bias, net.weight, [net.offset]]).astype(float)
+
+
+def _network(numbers: np.ndarray, like: CharacterNetwork) -> CharacterNetwork:
+    size, filters = like.kernel.size, len(like.bias)
+    kernel, bias, weight, offset = np.split(np.asarray(numbers, np.float32), [size, size + filters, size + 2 * filters])
+    return CharacterNetwork(kernel.reshape(like.kernel.shape), bias, weight, float(offset[0]))
+
+
+def _taught(net: CharacterNetwork, candidates: DataFrame, x: np.ndarray, y: np.ndarray, parts: int, number: int) -> CharacterNetwork:
+    """The mean of the networks that the parts of `candidates` (row, n) make of `net`, by their rows. A part takes
+    each of its rows once, one row among three of the generated ones `x` and `y`."""
+    before, like = _numbers(net), net
+    sides = [np.flatnonzero(y == v) for v in (0, 1)]
+
+    def teach(rows: pd.DataFrame) -> pd.DataFrame:
+        own_x, own_y = _table(sorted(map(bytes, rows["row"])))
+        rng = np.random.default_rng([number, len(own_y), int(rows["part"].iloc[0])])
+        order, one = rng.permutation(len(own_y)), _network(before, like)
+
+        def batches():
+            for at in range(0, len(order), 16):
+                own = order[at : at + 16]
+                more = np.concatenate([rng.choice(side, 24) for side in sides])
+                yield np.concatenate([x[more], own_x[own]]), np.concatenate([y[more], own_y[own]]).astype(np.float32)
+
+        _descend(one, batches(), 0.002)
+        n = float(len(own_y))
+        return pd.DataFrame({"place": np.arange(len(before)), "total": _numbers(one) * n, "n": n})
+
+    dealt = candidates.withColumn("part", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(parts)))
+    taught = dealt.groupBy("part").applyInPandas(teach, "place int, total double, n double")
+    # as many rows as the network has numbers; rounded, so that the order of the parts does not show
+    mean = taught.groupBy("place").agg(F.round(F.sum("total") / F.sum("n"), 6).alias("v")).toPandas()
+    return _network(mean.sort_values("place")["v"].to_numpy(), like) if len(mean) else net
+
+
+def _scores_held(net: CharacterNetwork, candidates: DataFrame) -> pd.DataFrame:
+    """(z, y, n): scores of all rows of `candidates` in steps of a thousandth, rounded down, and how many have them;
+    beyond 30 they make no difference."""
+
+    def score(batches):
+        for batch in batches:
+            x, y = _table(batch["row"].to_pylist())
+            z = np.floor(np.clip(net.logits(x).astype(float), -30, 30) * 1000).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(z), pa.array(y.astype(np.int32)), batch["n"]], names=["z", "y", "n"])
+
+    scored = candidates.mapInArrow(score, "z int, y int, n long")
+    return scored.groupBy("z", "y").agg(F.sum("n").alias("n")).orderBy("z", "y").toPandas()
+
+
+def trained(
+    docs: DataFrame, text_col: str = "text", recall: float = 0.98, rounds: int = 2, part_rows: int = 4096
+) -> CharacterNetwork:
+    """The network from the generated table and all candidates of `docs`.
+
+    What a base pattern covers teaches nothing that the base does not find, and may not outweigh the rest: the
+    documents' rows make up a quarter of each batch, and at most a quarter of the generated rows' weight in the
+    calibration.
+    """
+    x, y = generated_candidates()
+    net = train(x, y, recall)
+    held = np.arange(len(y)) % 4 == 3  # as `train` does
+    candidates = stage(every_candidate(docs, text_col), "candidates")
+    known = candidates.count()
+    if not known:
+        return net
+    back = F.pmod(F.xxhash64("row"), F.lit(4)) == 3
+    for number in range(rounds):
+        net = _taught(net, candidates.where(~back), x[~held], y[~held], -(-known // part_rows), number)
+    scores = _scores_held(net, candidates.where(back))
+    own = scores["n"].to_numpy(float)
+    own *= min(1.0, held.sum() / 4 / max(own.sum(), 1.0))
+    z = np.concatenate([net.logits(x[held]).astype(float), scores["z"].to_numpy(float) / 1000])
+    labels = np.concatenate([y[held], scores["y"].to_numpy()]).astype(float)
+    _calibrate_scores(net, z, labels, np.concatenate([np.ones(held.sum()), own]), recall)
+    return net
 
 
 def find_secrets(
