@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from tests.llm import cases
 from tillroll.llm import packing
-from tillroll.llm.encoder import WordEncoder
+from tillroll.llm.encoder import MARKS, WordEncoder, _Cache
 from tillroll.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -100,3 +100,24 @@ def test_repeat_counts_solve_an_exact_histogram():
             histogram[part] += n
     combos = [(64,), (20, 44), (10, 54)]
     assert np.allclose(packing.repeat_counts(histogram, combos), [5, 7, 3], atol=1e-3)
+
+
+def test_values_set_aside_are_taken_back():
+    made = []
+    cache = _Cache(lambda key: made.append(key) or key * 2, 3)
+    for key in (b"a", b"b", b"c", b"d", b"x" * 100):
+        assert cache[key] == key * 2
+    cache.trim()
+    assert not len(cache) and cache[b"a"] == b"aa" and made.count(b"a") == 1
+    for _ in range(2):  # what did not come again is gone after the next time
+        for key in (b"a", b"e", b"f", b"g"):
+            assert cache[key] == key * 2
+        cache.trim()
+    assert cache[b"b"] == b"bb" and made.count(b"b") == 2 and made.count(b"a") == 1
+
+
+def test_words_with_a_mark_behind():
+    for word in ["Word", "ZEBRA", "it"]:
+        for mark in ["", *MARKS.decode()]:
+            for text in (word + mark, f"{word}{mark}{mark}", f"{mark}{word}", f"{word}'s{mark}", f"é{word}{mark}"):
+                assert np.frombuffer(ENCODER.encode([text.encode()])[0], "<u4").tolist() == ids_of(text)[:-1], text

@@ -18,7 +18,8 @@ PLAIN_BYTES = bytes(b for b in range(128) if b != 0x27) + bytes(range(0x80, 0xC0
 UNLIKE = re.compile(rb"<\||\xc3\x97|\xc3\xb7|\xc4\xb0")
 # Words on which a file's merges, applied to bytes in printable form, have to agree with its whole tokenizer.
 PROBES = ("a", "the", "zebra", "Élève", "ñandú", "straße", "œuvre", "ŵyłą", "ǅungla", "unverwechselbar", "ãÃâÂ")
-CACHE_WORDS, CACHE_PIECES = 250_000, 400_000  # values kept
+MARKS = b",.;:!?"
+CACHE_WORDS, CACHE_PIECES = 250_000, 400_000  # values kept, and as many set aside
 KEPT_BYTES = 64  # longer words and pieces are encoded each time
 
 
@@ -34,20 +35,26 @@ PRINTABLE = _printable()
 
 
 class _Cache(dict):
-    """Made values by key; keys beyond `KEPT_BYTES` are made anew."""
+    """Made values by key; keys beyond `KEPT_BYTES` are made anew. Beyond `most` values what is there is
+    set aside, and a key that comes again is taken back from it, until the next time."""
 
     def __init__(self, make, most: int):
         super().__init__()
         self.make, self.most = make, most
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, key: bytes) -> bytes:
-        value = self.make(key)
-        if len(key) <= KEPT_BYTES:
-            self[key] = value
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > KEPT_BYTES:
+                return value
+        self[key] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self.most:
+            self.older = dict(self)
             self.clear()
 
 
@@ -82,7 +89,9 @@ class WordEncoder:
 
     def _merged(self, letters: bytes) -> bytes:
         """Ids of a run of letters by the merges alone, several times as fast."""
-        text = letters.decode().lower().encode().decode("latin-1").translate(PRINTABLE)
+        text = letters.decode().lower()
+        if not letters.isascii():
+            text = text.encode().decode("latin-1").translate(PRINTABLE)
         ids = [t.id for t in self.tokenizer.model.tokenize(text)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -92,6 +101,11 @@ class WordEncoder:
         return self._merged(piece) if self.by_merges and (97 <= first <= 122 or first >= 128) else self._whole(piece)
 
     def _put_together(self, word: bytes) -> bytes:
+        # most words are ASCII letters alone, or with one mark behind; what they are made of is plain to see
+        if word.isalpha():
+            return self.of_piece[word.lower()]
+        if word[-1] in MARKS and word[:-1].isalpha():
+            return self.of_piece[word[:-1].lower()] + self.of_piece[word[-1:]]
         if not _is_plain(word):
             return self._whole(word)
         return b"".join(map(self.of_piece.__getitem__, LETTERS_OR_OTHERS.findall(word.lower())))
